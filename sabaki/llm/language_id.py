@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -31,6 +32,9 @@ BUCKETS = 1 << 13
 SAMPLE_DOCS = 2400
 #: Texts with this many letters should be clear; where they aren't, the language is none of the learned.
 LONG_TEXT = 200
+REJECT = 0.35
+#: The two best scores of an ambiguous text differ by less.
+AMBIGUOUS = 0.2
 _LETTER = re.compile(r"[^\W\d_]")
 _MARKS = re.compile(r"[\x00-`{-\x7f]+")  # all of ASCII but a-z
 #: Odd multipliers that hash n-grams of two and three bytes.
@@ -135,10 +139,12 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     return fit(x, [r["lang"] for r in got])
 
 
-def _predict(model: Model):
+def _predict(model: Model, text_at: int, emit: list[int]):
+    """Columns ``emit`` of each batch, then lang_pred, score and ambiguous of column ``text_at``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(text_at).to_pylist()
             known = [i for i, t in enumerate(texts) if t and model.languages and _LETTER.search(t)]
             lang, score, gap = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             for at in range(0, len(known), 256):
@@ -150,7 +156,8 @@ def _predict(model: Model):
                 gap[rows] = ranked[:, -1] - (ranked[:, -2] if s.shape[1] > 1 else 0)
                 for i, k in zip(rows, best, strict=True):
                     lang[i] = model.languages[k]
-            yield pa.RecordBatch.from_arrays([*b.columns[:1], *b.columns[2:], pa.array(lang), pa.array(score), pa.array(gap < 0.2)], [*b.schema.names[:1], *b.schema.names[2:], "lang_pred", "score", "ambiguous"])
+            added = [pa.array(lang, pa.string()), pa.array(score), pa.array(gap < AMBIGUOUS)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in emit), *added], [*(b.schema.names[i] for i in emit), "lang_pred", "score", "ambiguous"])
 
     return run
 
@@ -161,9 +168,24 @@ def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
     A null text, or one without a letter, is ``und`` with score 0, as is every text where nothing was
     learned.  A null doc_id is never held out.  Rows, repeated or not, are treated one by one.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id").cast("long")).alias("held_out"))
-    out = rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
-    return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_predict(model, 2, [0, 1]), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_known_languages(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs`` in a learned language, all columns as they are.
+
+    Rejected are ``und`` and texts of at least ``LONG_TEXT`` characters whose score is below
+    ``REJECT``: so long a text of a learned language is told with near certainty.  Shorter texts that
+    are merely ambiguous stay.
+    """
+    names = [f"in_{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    text_at = [c.lower() for c in docs.columns].index("text")
+    schema = T.StructType([*plain.schema.fields, *T._parse_datatype_string("lang_pred string, score double, ambiguous boolean").fields])
+    found = plain.mapInArrow(_predict(model, text_at, list(range(len(names)))), schema)
+    unclear = (F.length(names[text_at]) >= LONG_TEXT) & (F.col("score") < REJECT)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & ~F.coalesce(unclear, F.lit(False))).select(*names).toDF(*docs.columns)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

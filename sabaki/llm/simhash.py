@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -59,7 +59,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         prints = [simhash(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
         fp = np.frombuffer(b"".join(prints), ">i8").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], ["doc_id", "fp", "th"])
 
 
 def blocks_for(n: int, radius: int = RADIUS) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
@@ -260,6 +260,22 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _classes(docs: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """doc_id, th (hash of the text), fp, root and component_id of each row of ``docs``."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("th"))
+    prints = materialise(docs.mapInArrow(_fingerprints, "doc_id long, fp long, th long"), "prints")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
+    reached = components(near_links(nodes.select("fp"), radius, shard_rows))
+    linked = nodes.join(reached, nodes["fp"] == reached["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    linked = materialise(linked, "roots")
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return prints.join(linked.select("fp", "root").join(least, "root"), "fp")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id.
 
@@ -267,15 +283,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHA
     other.  component_id is the smallest doc_id that can be reached over links; null doc_ids are
     passed over (a component of such rows only has a null component_id).  Repeated rows are kept.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = materialise(docs.mapInArrow(_fingerprints, "doc_id long, fp long"), "prints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    reached = components(near_links(nodes.select("fp"), radius, shard_rows))
-    linked = nodes.join(reached, nodes["fp"] == reached["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    linked = materialise(linked, "roots")
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = linked.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _classes(docs, radius, shard_rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The row of ``docs`` with the smallest doc_id of every component, all columns as they are.
+
+    Of rows that tie on doc_id within a component one stays, and of a component without doc_ids too.
+    """
+    chosen = _classes(docs, radius, shard_rows).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = chosen.select(F.col("doc_id").alias("id"), "th", "root").distinct()
+    names = [f"in_{i}" for i in range(len(docs.columns))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("own_th"), *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    joined = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["id"]) & (rows["own_th"] == chosen["th"]))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "root").orderBy("th"))
+    return joined.withColumn("nth", nth).filter("nth = 1").select(*names).toDF(*docs.columns)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
