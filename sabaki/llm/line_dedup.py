@@ -25,22 +25,29 @@ MIN_LINES = 2
 _LAST = (1 << 63) - 1
 
 
-def chunks_of(text: Column) -> Column:
-    """Chunks (body, lines) of a text; joined by newlines they are the text."""
-    lines = F.split(text, "\n", -1)
-    hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
-
-    def marked(z: Column, i: Column, hashes: Column) -> Column:
-        # Whether the line before this one ends a chunk.
-        rolled = F.when(i > 1, F.get(hashes, i - 2)).otherwise(0) * MULTIPLIER + F.get(hashes, i - 1)
-        return F.concat(F.when((i > 0) & (rolled % DIVISOR == 0), "b").otherwise("c"), z)
+def with_chunks(df: DataFrame, text: str, into: str) -> DataFrame:
+    """Add ``into``: the chunks (body, lines) of the text; joined by newlines the bodies are the text.
 
+    Each step is a column of its own and lambdas refer to their arguments alone, so nothing is
+    computed once a line that can be computed once a text.
+    """
+    lines, hashes, marked = f"{into}_l", f"{into}_h", f"{into}_m"
+    df = df.withColumn(lines, F.split(text, "\n", -1))
+    df = df.withColumn(hashes, F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")))
+    # For each line the hashes of the one before it and of the one before that.
+    n, zero = F.size(hashes), F.lit(0).cast("long")
+    before = F.concat(F.array(zero), F.slice(hashes, 1, n - 1))
+    further = F.concat(F.array(zero, zero), F.slice(hashes, 1, F.greatest(n - 2, F.lit(0))))
+    rolled = F.zip_with(before, further, lambda b, a: (F.coalesce(a, zero) * MULTIPLIER + b) % DIVISOR == 0)
     # Every line gets a mark in front, so a newline and "b" is where chunks part: lines hold no newline.
-    joined = F.array_join(F.transform(lines, lambda z, i: marked(z, i, hashes)), "\n")
-    return F.transform(
-        F.split(F.substring(joined, 2, F.length(joined)), "\nb", -1),
-        lambda b: F.struct(F.replace(b, F.lit("\nc"), F.lit("\n")).alias("body"), (F.length(b) - F.length(F.replace(b, F.lit("\nc"), F.lit("\n"))) + 1).alias("lines")),
-    )
+    df = df.withColumn(marked, F.zip_with(lines, rolled, lambda x, cut: F.concat(F.when(cut, "b").otherwise("c"), x)))
+    bodies = F.split(F.expr(f"substring(array_join({marked}, '\n'), 2)"), "\nb", -1)
+
+    def chunk(b: Column) -> Column:
+        body = F.replace(b, F.lit("\nc"), F.lit("\n"))
+        return F.struct(body.alias("body"), (F.length(b) - F.length(body) + 1).alias("lines"))
+
+    return df.withColumn(into, F.transform(bodies, chunk)).drop(lines, hashes, marked)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -51,28 +58,28 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     after all others.  Rows of equal doc_id are one document: those that share the smallest doc_id of a
     chunk all keep its first occurrence.
     """
-    key, order, chunks, gone = (fresh(docs, s) for s in ("key", "order", "chunks", "gone"))
+    key, chunks, gone = (fresh(docs, s) for s in ("key", "chunks", "gone"))
     ordered = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     keyed = docs.withColumn(key, F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text")), 256))
-    cut = docs.filter(F.contains("text", F.lit("\n"))).select(ordered.alias("ord"), F.col("text").alias("t"))
-    cut = cut.select("ord", F.inline(chunks_of(F.col("t")))).filter(F.col("lines") >= MIN_LINES)
-    repeated = cut.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("owner")).filter("n > 1")
+    several = keyed.filter(F.contains("text", F.lit("\n"))).select(F.col(key).alias("k"), ordered.alias("ord"), F.col("text").alias("t"))
+    cut = with_chunks(several, "t", "c")
+    bodies = cut.select("ord", F.inline_outer("c")).filter(F.col("lines") >= MIN_LINES)
+    repeated = bodies.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("owner")).filter("n > 1")
     repeated = materialise(repeated.select(F.sha2("body", 256).alias("sha"), "owner"), "repeated-chunks")
 
-    own = keyed.filter(F.contains("text", F.lit("\n"))).select(F.col(key).alias("k"), ordered.alias("ord"), chunks_of(F.col("text")).alias("c"))
-    own = own.withColumn("c", F.transform("c", lambda c: F.struct(F.when(c["lines"] >= MIN_LINES, F.sha2(c["body"], 256)).alias("sha"))))
-    own = own.withColumn("c", F.transform("c", lambda c, i: F.struct(c["sha"].alias("sha"), i.alias("i"), (F.array_position(F.col("c"), c) == i + 1).alias("first"))))
-    found = own.select("k", "ord", F.inline(F.filter("c", lambda c: c["sha"].isNotNull()))).join(repeated, "sha")
+    own = cut.withColumn("c", F.transform("c", lambda c: F.when(c["lines"] >= MIN_LINES, F.sha2(c["body"], 256))))
+    own = own.withColumn("c", F.transform("c", lambda s, i: F.struct(s.alias("sha"), i.alias("i"), (F.array_position(F.col("c"), s) == i + 1).alias("first"))))
+    found = own.select("k", "ord", F.inline_outer("c")).filter(F.col("sha").isNotNull()).join(repeated, "sha")
     lists = found.filter(~(F.col("first") & (F.col("ord") == F.col("owner")))).groupBy("k").agg(F.collect_set("i").alias(gone))
     lists = lists.withColumnRenamed("k", key)
 
-    joined = keyed.join(lists, key, "left").withColumn(chunks, F.when(F.col("text").isNotNull(), chunks_of(F.col("text"))))
+    joined = with_chunks(keyed.join(lists, key, "left"), "text", chunks)
     kept = F.array_join(F.transform(F.filter(chunks, lambda _, i: ~F.array_contains(F.col(gone), i)), lambda c: c["body"]), "\n")
     text = F.when(F.col(gone).isNotNull(), kept).otherwise(F.col("text"))
     return joined.select(
         *(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns),
-        F.coalesce(F.size(chunks), F.lit(0)).alias("n_chunks"),
-        F.coalesce(F.size(gone), F.lit(0)).alias("n_removed"),
+        F.greatest(F.coalesce(F.size(chunks), F.lit(0)), F.lit(0)).alias("n_chunks"),
+        F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0)).alias("n_removed"),
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
-from .spans import SPANS, listed, redacted, tagged, with_spans
+from .spans import SPANS, let, listed, redacted, tagged, with_spans
 
 #: Fixed patterns of the base kinds.  "Either case" is ASCII only.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -50,7 +50,7 @@ def _battery(span: Column) -> Column:
     token = span["match"]
     encoding = F.coalesce(*(F.when(token.rlike(p), F.lit(name)) for name, p, _ in ENCODINGS))
     alphabet = F.coalesce(*(F.when(token.rlike(p), F.lit(letters)) for _, p, letters in ENCODINGS))
-    values = F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c) - 1)
+    values = let(alphabet, lambda a: F.transform(F.split(token, ""), lambda c: F.instr(a, c) - 1))
     return F.struct(span["start"].alias("start"), span["end"].alias("end"), encoding.alias("encoding"), F.length(alphabet).alias("size"), values.alias("v"))
 
 
@@ -81,10 +81,15 @@ def _serial(t: Column) -> Column:
     """p-value of the lag-1 correlation of the values; 0 if they are all equal."""
     n = F.size(t["v"])
     mean = F.aggregate(t["v"], F.lit(0).cast("long"), lambda acc, v: acc + v) / n
-    spread = F.aggregate(t["v"], F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-    lagged = F.aggregate(F.zip_with(F.slice(t["v"], 1, n - 1), F.slice(t["v"], 2, n - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda acc, x: acc + x)
-    z = (lagged / spread + 1 / n) * F.sqrt(n.cast("double"))
-    return F.when(spread <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), 2 * upper_tail(F.abs(z))))
+    centred = let(mean, lambda m: F.transform(t["v"], lambda v: v - m))
+
+    def p_value(c: Column) -> Column:
+        spread = F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x)
+        lagged = F.aggregate(F.zip_with(F.slice(c, 1, n - 1), F.slice(c, 2, n - 1), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+        z = (lagged / F.nullif(spread, F.lit(0.0)) + 1 / n) * F.sqrt(n.cast("double"))
+        return F.coalesce(F.least(F.lit(1.0), 2 * upper_tail(F.abs(z))), F.lit(0.0))
+
+    return let(centred, p_value)
 
 
 def random_tokens(tokens: Column, fdr: float = FDR) -> list[tuple[str, Column]]:
@@ -95,8 +100,14 @@ def random_tokens(tokens: Column, fdr: float = FDR) -> list[tuple[str, Column]]:
     )
     total = F.aggregate(F.col("judged"), F.lit(0).cast("long"), lambda acc, t: acc + t["n"])
     # The weight of a token is its length over the mean length.
-    weighted = F.transform(F.col("judged"), lambda t: F.struct((t["p"] * total / (t["n"] * F.size("judged"))).alias("w"), t["start"].alias("start"), t["end"].alias("end")))
-    rejected = F.aggregate(F.transform(F.col("weighted"), lambda t, i: F.when(t["w"] <= (i + 1) * fdr / F.size("weighted"), i + 1).otherwise(0)), F.lit(0), lambda acc, k: F.greatest(acc, k))
+    weighted = let(
+        F.struct(F.col("judged").alias("tokens"), (total / F.greatest(F.size("judged"), F.lit(1))).alias("mean")),
+        lambda d: F.transform(d["tokens"], lambda t: F.struct((t["p"] * d["mean"] / t["n"]).alias("w"), t["start"].alias("start"), t["end"].alias("end"))),
+    )
+    rejected = let(
+        F.struct(F.col("weighted").alias("tokens"), F.size("weighted").alias("m")),
+        lambda d: F.aggregate(F.transform(d["tokens"], lambda t, i: F.when(t["w"] <= (i + 1) * fdr / d["m"], i + 1).otherwise(0)), F.lit(0), lambda acc, k: F.greatest(acc, k)),
+    )
     none = F.array().cast("array<struct<start:int,end:int>>")
     kept = F.transform(F.slice(F.col("weighted"), F.col("rejected") + 1, F.size("weighted")), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
     some = F.size(tokens) > 0

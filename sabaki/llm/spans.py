@@ -7,6 +7,8 @@ matches before it end.  Places are code points, ends excluded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,26 +19,31 @@ SPANS = "array<struct<start:int,end:int,match:string>>"
 
 def prefix_sums(values: Column) -> Column:
     """Inclusive running sums of an array of ints; an empty array stays empty."""
-    blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))
-
-    def block(b: Column) -> Column:
-        return F.slice(values, b * BLOCK + 1, F.lit(BLOCK))
 
     def running(xs: Column, start: Column) -> Column:
         return F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-    sums = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda acc, x: acc + x))
-    offsets = F.slice(running(sums, F.lit(0)), 1, F.size(sums))
-    local = F.transform(
-        F.arrays_zip(blocks.alias("b"), offsets.alias("o")),
-        lambda z: F.slice(running(block(z["b"]), z["o"]), 2, BLOCK),
-    )
-    return F.when(F.size(values) > 0, F.flatten(local)).otherwise(F.array().cast("array<int>"))
+    def summed(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+        return let(blocks, joined)
+
+    def joined(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
+        local = F.zip_with(blocks, running(sums, F.lit(0)), lambda b, o: F.when(b.isNotNull(), F.slice(running(b, o), 2, BLOCK)).otherwise(F.array().cast("array<int>")))
+        return F.flatten(local)
+
+    return F.when(F.size(values) > 0, let(values, summed)).otherwise(F.array().cast("array<int>"))
 
 
 def _steps(matches: Column, parts: Column) -> Column:
     """From the start of each match back to that of the one before it."""
-    return F.transform(matches, lambda _, i: F.get(parts, i) + F.when(i > 0, F.length(F.get(matches, i - 1))).otherwise(0))
+    before = F.concat(F.array(F.lit(0)), F.transform(matches, F.length))
+    return F.slice(F.zip_with(parts, before, lambda p, m: p + m), F.lit(1), F.size(matches))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def with_spans(df: DataFrame, text: str, patterns: dict[str, str], only_if: dict[str, Column] | None = None) -> DataFrame:
