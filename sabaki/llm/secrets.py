@@ -5,7 +5,7 @@ the battery judges every token of 20 or more characters of an encoding alphabet.
 inferred from the characters (upper-case hex, base32, base64 and its URL form); tokens of letters
 alone fit none.  Under the null hypothesis, a token of random bytes, three tests give p-values:
 chi-squared uniformity over the encoding's alphabet, Wald-Wolfowitz runs above and below the
-alphabet's middle, and lag-1 serial correlation.  The least of them, times three, is the token's
+alphabet's middle, and lag-1 serial correlation.  Fisher's method combines them to the token's
 p-value.  Tokens for which randomness is rejected are let go; Benjamini-Hochberg control with
 weights by length (longer tokens can be told better) over a document's tokens bounds the share of
 true secrets among those let go by ``fdr``.  The rest are reported as kind ``random``.
@@ -33,7 +33,7 @@ ENCODINGS = (
     ("base64", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
     ("base64url", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
 )
-FDR = 0.01
+FDR = 0.05
 
 
 def upper_tail(z: Column) -> Column:
@@ -92,11 +92,17 @@ def _serial(t: Column) -> Column:
     return let(centred, p_value)
 
 
+def _combined(*p: Column) -> Column:
+    """p-value of three p-values: the upper tail of chi-squared with six degrees of freedom at -2 times the sum of their logs."""
+    logs = -sum((F.log(F.greatest(x, F.lit(1e-300))) for x in p), F.lit(0.0))
+    return let(logs, lambda x: F.least(F.lit(1.0), F.exp(-x) * (1 + x + x * x / 2)))
+
+
 def random_tokens(tokens: Column, fdr: float = FDR) -> list[tuple[str, Column]]:
     """Steps (name, column) that lead from token spans to ``random_s``, those for which randomness isn't rejected."""
     judged = F.transform(
         F.col("tried"),
-        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.size(t["v"]).alias("n"), F.least(F.lit(1.0), 3 * F.least(_chi_squared(t), _runs(t), _serial(t))).alias("p")),
+        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.size(t["v"]).alias("n"), _combined(_chi_squared(t), _runs(t), _serial(t)).alias("p")),
     )
     total = F.aggregate(F.col("judged"), F.lit(0).cast("long"), lambda acc, t: acc + t["n"])
     # The weight of a token is its length over the mean length.

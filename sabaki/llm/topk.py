@@ -42,7 +42,7 @@ def quantised(vector: Column) -> Column:
 
 
 class KDTree:
-    """Points by leaf in ``order``; node i has children 2i+1 and 2i+2, leaves are the last level."""
+    """Leaves of median splits with tight boxes, and the boxes of up to eight neighbours on each level above."""
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
         n = len(x)
@@ -58,9 +58,8 @@ class KDTree:
                 halves += [g[:mid], g[mid:]]
             groups = halves
         self.leaves = [g for g in groups if len(g)]
-        self.low = np.array([x[g].min(axis=0) for g in self.leaves]).reshape(-1, x.shape[1])
-        self.high = np.array([x[g].max(axis=0) for g in self.leaves]).reshape(-1, x.shape[1])
-        # Tight boxes of the inner levels, from the leaves up: [(low, high, children's range), ...].
+        self.low = np.stack([x[g].min(axis=0) for g in self.leaves])
+        self.high = np.stack([x[g].max(axis=0) for g in self.leaves])
         self.levels = [(self.low, self.high)]
         while len(self.levels[-1][0]) > 8:
             low, high = self.levels[-1]
