@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,13 +35,33 @@ def parse_number(text: Column) -> Column:
     return F.nullif(digits(text), F.lit("")).try_cast("bigint")
 
 
-def first_match(lines: Column, pattern: str) -> Column:
-    """What the first line that matches ``pattern`` matches; null if none does."""
-    return F.get(F.filter(F.transform(lines, lambda x: F.regexp_substr(x, F.lit(pattern))), lambda x: x.isNotNull()), F.lit(0))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def first_match(joined: Column, pattern: str) -> Column:
+    """What the first line that matches ``pattern`` matches; null if none does.
+
+    ``joined`` holds lines between newlines, none of which ``pattern`` can match, so that one search
+    does for all lines.
+    """
+    return F.regexp_substr(joined, F.lit(pattern))
+
+
+def whole_lines(pattern: str) -> str:
+    """``pattern``, which has anchors, for a search in joined lines; only a newline ends a line."""
+    return f"(?md){pattern}"
 
 
-def first_line(lines: Column, pattern: str) -> Column:
-    return F.get(F.filter(lines, lambda x: x.rlike(pattern)), F.lit(0))
+def mentions(line: Column, words: tuple[str, ...]) -> Column:
+    """Whether any of ``words`` occurs.  Most lines are ASCII, and most words aren't, so they are told apart first."""
+    plain = [w for w in words if w.isascii()]
+    other = tuple(w for w in words if not w.isascii())
+    found = line.rlike(r"[^\x00-\x7f]") & line.rlike(rules.any_of(other)) if other else F.lit(False)
+    for w in plain:
+        found = found | line.contains(w)
+    return found
 
 
 def document_year(text: Column, default_year: int) -> Column:

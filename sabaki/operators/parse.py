@@ -12,29 +12,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import digits, document_year, first_line, first_match, parse_number, template_of
+from ..functions.text import digits, document_year, first_match, let, parse_number, template_of, whole_lines
 
 
 def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-def facts(lines: Column) -> Column:
-    """What templates look at: chassis, date lines, packed, subtotal and lot lines, money candidates."""
+def facts(lines: Column, template: Column) -> Column:
+    """What templates look at: chassis, date lines, packed, subtotal and lot lines, money candidates; each only where its template asks for it."""
 
     def money(xs: Column) -> Column:
         return F.transform(F.filter(F.transform(xs, digits), lambda d: F.length(d).between(5, 8)), lambda d: d.try_cast("bigint"))
 
-    return F.struct(
-        first_match(lines, rules.CHASSIS).alias("chassis"),
-        F.filter(lines, lambda x: x.rlike(rules.DATE)).alias("dated"),
-        first_line(lines, rules.PACKED).alias("packed"),
-        first_line(lines, rules.SUBTOTAL).alias("subtotal"),
-        first_line(lines, rules.LOT).alias("lot"),
-        F.filter(money(lines), lambda v: v != 0).alias("money"),
-        F.sort_array(money(F.filter(lines, lambda x: ~x.rlike(rules.DATE))), asc=False).alias("undated_money"),
-        lines.alias("lines"),
-    )
+    def of(joined: Column) -> Column:
+        uss, generic = template == "USS", template == FALLBACK
+        dated = F.filter(lines, lambda x: x.rlike(rules.DATE))
+        return F.struct(
+            first_match(joined, rules.CHASSIS).alias("chassis"),
+            F.when(generic, F.get(dated, F.size(dated) - 1)).otherwise(first_match(joined, whole_lines(f"^.*{rules.DATE}.*$"))).alias("dated"),
+            F.when(uss, first_match(joined, whole_lines(rules.PACKED))).alias("packed"),
+            F.when(uss, first_match(joined, whole_lines(rules.SUBTOTAL))).alias("subtotal"),
+            F.when(uss, first_match(joined, whole_lines(rules.LOT))).alias("lot"),
+            F.when(template == "TAA", F.filter(money(lines), lambda v: v != 0)).alias("money"),
+            F.when(generic, F.sort_array(money(F.filter(lines, lambda x: ~x.rlike(rules.DATE))), asc=False)).alias("undated_money"),
+        )
+
+    return let(F.array_join(lines, "\n"), of)
 
 
 def _date(line: Column, year: Column) -> Column:
@@ -43,7 +47,7 @@ def _date(line: Column, year: Column) -> Column:
 
 
 def _uss(f: Column, year: Column) -> dict[str, Column]:
-    line, packed = F.get(f["dated"], F.lit(0)), f["packed"]
+    line, packed = f["dated"], f["packed"]
     rest = F.regexp_replace(line, f"^.*?{rules.DATE}", "")
     n = F.length(packed)
     total = F.substring(packed, F.lit(1), n - 8).try_cast("bigint")
@@ -60,7 +64,7 @@ def _uss(f: Column, year: Column) -> dict[str, Column]:
 def _taa(f: Column, year: Column) -> dict[str, Column]:
     a, b = F.get(f["money"], F.lit(0)), F.get(f["money"], F.lit(1))
     return {
-        "date": _date(F.get(f["dated"], F.lit(0)), year),
+        "date": _date(f["dated"], year),
         "bid": F.when(b.isNotNull(), F.least(a, b)).otherwise(a),
         "total": F.when(b.isNotNull(), F.greatest(a, b)),
         "recycle": _null("bigint"),
@@ -71,7 +75,7 @@ def _taa(f: Column, year: Column) -> dict[str, Column]:
 
 def _generic(f: Column, year: Column) -> dict[str, Column]:
     return {
-        "date": _date(F.get(f["dated"], F.size(f["dated"]) - 1), year),
+        "date": _date(f["dated"], year),
         "bid": F.get(f["undated_money"], F.lit(1)),
         "total": F.get(f["undated_money"], F.lit(0)),
         "recycle": _null("bigint"),
@@ -144,6 +148,6 @@ def passes_gate(row: Column) -> Column:
 def parse(segmented: DataFrame, default_year: int) -> DataFrame:
     """Add ``year``, ``template`` and ``raw_rows`` (one for each valid block, in order)."""
     df = segmented.withColumn("year", document_year(F.col("text"), default_year)).withColumn("template", template_of(F.col("text")))
-    df = df.withColumn("raw_rows", F.transform("valid_blocks", facts))
+    df = df.withColumn("raw_rows", F.transform("valid_blocks", lambda b: facts(b, F.col("template"))))
     df = df.withColumn("raw_rows", F.transform("raw_rows", lambda f: parsed(f, F.col("template"), F.col("year"))))
     return df.withColumn("raw_rows", F.transform("raw_rows", scored))

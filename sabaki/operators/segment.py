@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import clean_lines
+from ..functions.text import clean_lines, let, mentions
 
 
 def is_noise(line: Column, own_names: tuple[str, ...] = ()) -> Column:
     """Whether a line is a header, a footer, transport, a summary or an address (``own_names``: of the tenant)."""
-    noise = line.rlike(rules.any_of(rules.FOOTER_MARKERS)) | line.rlike(rules.any_of(rules.TRANSPORT_KEYWORDS))
+    noise = mentions(line, rules.FOOTER_MARKERS + rules.TRANSPORT_KEYWORDS + (rules.ADDRESSEE,))
     noise = noise | (line.rlike("^[0-9,]+$") & line.contains(",")) | line.rlike("^[0-9]+頁")
-    noise = noise | line.rlike(rf"[0-9]{{4}}{rules.JS_SPACE}*年{rules.JS_SPACE}*[0-9]{{2}}{rules.JS_SPACE}*月") | line.contains(rules.ADDRESSEE)
+    noise = noise | line.rlike(rf"[0-9]{{4}}{rules.JS_SPACE}*年{rules.JS_SPACE}*[0-9]{{2}}{rules.JS_SPACE}*月")
     for name in own_names:
         noise = noise | line.contains(name)
     return noise
@@ -63,8 +63,8 @@ def blocks_at(lines: Column, starts: Column) -> Column:
 
 def is_valid_block(lines: Column) -> Column:
     """Three lines or more, no transport word (none is left after ``data_lines``), and a chassis."""
-    transport = F.exists(lines, lambda x: x.rlike(rules.any_of(rules.TRANSPORT_KEYWORDS)))
-    return (F.size(lines) >= 3) & ~transport & F.exists(lines, lambda x: x.rlike(rules.CHASSIS))
+    long_enough = F.size(lines) >= 3
+    return long_enough & let(F.array_join(lines, "\n"), lambda j: j.rlike(rules.CHASSIS) & ~mentions(j, rules.TRANSPORT_KEYWORDS))
 
 
 def segment(docs: DataFrame, own_names: tuple[str, ...] = ()) -> DataFrame:
