@@ -13,6 +13,7 @@ stated fraction of the rows, so blocks are dealt out, never all pairs.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -30,8 +31,8 @@ LEAF = 64
 #: Rows that give every query its first bound.
 SEED_ROWS = 512
 QUANTUM = 256
-#: Larger integers aren't exact as doubles.
-LIMIT = float(1 << 31)
+#: Components that aren't longs any more take no part.
+LIMIT = float(1 << 63)
 
 
 def quantised(vector: Column) -> Column:
@@ -66,62 +67,99 @@ class KDTree:
             at = np.arange(0, len(low), 8)
             self.levels.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
-    @staticmethod
-    def bound(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    def reach(self, q: np.ndarray, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves that some query of the block may have to visit, and their bounds by query.
+
+        Boxes are opened from the top: one whose bound is below the k-th score of every query goes.
+        """
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        nodes = np.arange(len(self.levels[-1][0]))
+        for level in range(len(self.levels) - 1, -1, -1):
+            low, high = self.levels[level]
+            bounds = up @ high[nodes].T + down @ low[nodes].T
+            open_ = (bounds >= kth[:, None]).any(axis=0)
+            nodes, bounds = nodes[open_], bounds[:, open_]
+            if level:
+                nodes = (nodes[:, None] * 8 + np.arange(8)).reshape(-1)
+                nodes = nodes[nodes < len(self.levels[level - 1][0])]
+        return nodes, bounds
+
+
+class Best:
+    """The k best (score, id) of every query of a block; ties go to the smaller id."""
 
+    def __init__(self, floor: np.ndarray, k: int):
+        self.k, self.kth = k, floor.astype(np.float64)
+        self.scores = np.full((len(floor), k), -np.inf)
+        self.ids = np.full((len(floor), k), np.iinfo(np.int64).max)
 
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+    def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
+        """Candidates ``ids`` with their ``scores`` for the queries ``rows``, whose own ids are ``own``."""
+        good = (scores >= self.kth[rows][:, None]) & (ids[None, :] != own[:, None])
+        some = good.any(axis=1)
+        if not some.any():
+            return
+        rows, good = rows[some], good[some]
+        s = np.concatenate([self.scores[rows], np.where(good, scores[some], -np.inf)], axis=1)
+        i = np.concatenate([self.ids[rows], np.broadcast_to(ids, good.shape)], axis=1)
+        i = np.where(s > -np.inf, i, np.iinfo(np.int64).max)
+        order = np.lexsort((i, -s), axis=1)[:, : self.k]
+        self.scores[rows], self.ids[rows] = np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
+        self.kth[rows] = np.maximum(self.kth[rows], self.scores[rows, -1])
+
+
+#: Leaves that every query visits by itself, best first, before the block goes through the rest together.
+ROUNDS = 2
 
 
 def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, k: int) -> pd.DataFrame:
     """The k best candidates of each query with a score of ``floor`` (of the query) or more."""
-    big = max(float(np.abs(x).max(initial=0)), 1) * max(float(np.abs(q).max(initial=0)), 1) * max(1, x.shape[1])
-    kind = np.float32 if big < 1 << 23 else np.float64 if big < 1 << 52 else object
+    big = float(np.abs(x.astype(float)).max(initial=1)) * float(np.abs(q.astype(float)).max(initial=1)) * max(1, x.shape[1])
+    if big >= 1 << 52 or not x.shape[1]:
+        return _plain(x, ids, q, q_ids, k)
+    kind = np.float32 if big < 1 << 23 else np.float64
     order = np.argsort(ids, kind="stable")
-    points, inverse = np.unique(x[order], axis=0, return_inverse=True) if x.shape[1] else (x[:1], np.zeros(len(x), int))
+    points, inverse = np.unique(x[order], axis=0, return_inverse=True)
     inverse = inverse.reshape(-1)
     by_point = np.argsort(inverse, kind="stable")  # within a point by id
     start = np.searchsorted(inverse[by_point], np.arange(len(points) + 1))
     sorted_ids = ids[order][by_point]
     points, q = points.astype(kind), q.astype(kind)
     tree = KDTree(points)
+    # Of equal vectors the k+1 least ids are enough, as one may be the query's own.
     copies = [sorted_ids[start[p] : min(start[p + 1], start[p] + k + 1)] for p in range(len(points))]
     sizes = np.array([len(c) for c in copies], int)
-    leaf_points = tree.leaves
-    leaf_ids = [np.concatenate([copies[p] for p in leaf]) for leaf in leaf_points]
-    leaf_rep = [np.repeat(np.arange(len(leaf)), sizes[leaf]) for leaf in leaf_points]
+    leaf_ids = [np.concatenate([copies[p] for p in leaf]) for leaf in tree.leaves]
+    best = Best(floor, k)
+
+    def visit(leaf: int, rows: np.ndarray) -> None:
+        scores = np.repeat(q[rows] @ points[tree.leaves[leaf]].T, sizes[tree.leaves[leaf]], axis=1)
+        best.offer(rows, scores.astype(np.float64), leaf_ids[leaf], q_ids[rows])
+
+    leaves, bounds = tree.reach(q, best.kth)
+    done = np.zeros(bounds.shape, bool)
+    first = np.argsort(-bounds, axis=1, kind="stable")[:, :ROUNDS]
+    for r in range(first.shape[1]):
+        for at in np.unique(first[:, r]):
+            rows = np.flatnonzero((first[:, r] == at) & (bounds[:, at] >= best.kth))
+            if len(rows):
+                done[rows, at] = True
+                visit(leaves[at], rows)
+    for at in np.argsort(-bounds.max(axis=0, initial=-np.inf), kind="stable"):
+        rows = np.flatnonzero((bounds[:, at] >= best.kth) & ~done[:, at])
+        if len(rows):
+            visit(leaves[at], rows)
+    row, place = np.nonzero(best.scores > -np.inf)
+    return pd.DataFrame({"query_id": q_ids[row], "vec_id": best.ids[row, place], "score": best.scores[row, place].astype(np.int64)})
+
+
+def _plain(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> pd.DataFrame:
+    """For vectors without components, and products that doubles can't hold: whole numbers, one by one; a sum beyond a long is the nearest long."""
     out = []
-    top = len(tree.levels) - 1
-    for i in range(len(q)):
-        own, kth = q[i : i + 1], floor[i]
-        heap_ids, heap_scores = np.zeros(0, ids.dtype), np.zeros(0, kind)
-        # Open boxes of the upper levels that may beat the bound, then visit their leaves best first.
-        nodes = np.arange(len(tree.levels[top][0]))
-        for level in range(top, -1, -1):
-            low, high = tree.levels[level]
-            bounds = tree.bound(own, low[nodes], high[nodes])[0]
-            keep = bounds >= kth
-            nodes, bounds = nodes[keep], bounds[keep]
-            if level:
-                nodes = (nodes[:, None] * 8 + np.arange(8)).reshape(-1)
-                nodes = nodes[nodes < len(tree.levels[level - 1][0])]
-        for j in np.argsort(-bounds, kind="stable"):
-            if bounds[j] < kth:
-                break
-            leaf = nodes[j]
-            s = (points[leaf_points[leaf]] @ own[0])[leaf_rep[leaf]]
-            c = leaf_ids[leaf]
-            good = (s >= kth) & (c != q_ids[i])
-            if good.any():
-                heap_ids, heap_scores = best(np.r_[heap_ids, c[good]], np.r_[heap_scores, s[good]], k)
-                if len(heap_ids) == k:
-                    kth = max(kth, heap_scores[-1])
-        out.append((np.full(len(heap_ids), q_ids[i]), heap_ids, heap_scores))
-    cols = [np.concatenate([o[c] for o in out]) if out else [] for c in range(3)]
-    return pd.DataFrame({"query_id": cols[0], "vec_id": cols[1], "score": np.array([int(s) for s in cols[2]], np.int64)})
+    for own, v in zip(q_ids.tolist(), q.tolist(), strict=True):
+        scored = ((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in zip(ids.tolist(), x.tolist(), strict=True) if i != own)
+        out += [(own, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in heapq.nsmallest(k, scored)]
+    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
 def _matrix(column: pd.Series, dim: int) -> np.ndarray:
@@ -133,7 +171,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = SH
 
     ``vectors`` has vec_id and embedding.  Scores are integer inner products of floor(256 * x); ties go
     to the smaller vec_id.  Rows with a null vec_id, a null vector, or a null or non-finite
-    component (or one of 2**23 or more) take no part.  Only vectors of equal length meet.  A query's own
+    component (or one of 2**55 or more, whose integer isn't a long) take no part.  Only vectors of equal length meet.  A query's own
     vec_id is no candidate; of rows that repeat a vec_id and vector, one takes part.
     """
     spark = vectors.sparkSession
@@ -158,9 +196,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = SH
             low = []
             for d, v, own in zip(p["dim"], p["v"], p["vec_id"], strict=True):
                 ids, x = seed[d]
-                s = np.sort((x.astype(np.float64) @ np.array(v, np.float64))[ids != own])
-                low.append(s[-k] - 1 if len(s) >= k else -np.inf)  # a score of 2**53 and more is rounded
-            yield p.assign(floor=np.array(low) - np.abs(np.array(low)) * 1e-12 if len(low) else np.zeros(0))
+                v = np.array(v, np.float64)
+                s = np.sort((x.astype(np.float64) @ v)[ids != own])
+                slack = 1 + 1e-12 * float((np.abs(x.astype(np.float64)) @ np.abs(v)).max(initial=0))
+                low.append(s[-k] - slack if len(s) >= k else -np.inf)
+            yield p.assign(floor=np.array(low, np.float64))
 
     queries = queries.select("vec_id", "v", "dim", "block").mapInPandas(first, "vec_id long, v array<long>, dim int, block int, floor double")
     asked = queries.select("dim", "block", every(shards).alias("shard"), "vec_id", "v", "floor")
