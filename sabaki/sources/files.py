@@ -114,9 +114,9 @@ def conversion_rejection(name: Column, content: Column, max_bytes: int | None =
 
 
 def block_tree(converted: DataFrame, key: str, column: str = "json") -> DataFrame:
-    """Rows of the blocks of a converted document (JSON text): its ``children``, or the whole where there are none."""
+    """Rows of the blocks of a converted document (JSON text): its ``children``, or the whole where it has no such field; none of text that isn't JSON."""
     whole = F.try_parse_json(column)
     children = F.try_variant_get(whole, "$.children", "array<variant>")
-    blocks = F.when(F.size(children) > 0, children).otherwise(F.array(whole))
+    blocks = F.coalesce(children, F.when(whole.isNotNull(), F.array(whole)))
     rows = converted.select(key, F.posexplode_outer(blocks).alias("block_id", "block")).filter("block_id IS NOT NULL")
     return rows.select(key, "block_id", F.try_variant_get("block", "$.block_type", "string").alias("block_type"), F.to_json("block").alias("block"))

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sabaki.operators import evaluate, ingest, metrics, resilience, ui
+from sabaki.operators import api, evaluate, ingest, metrics, resilience, ui
 from sabaki.operators.resilience import Breaker
 from sabaki.sources import files, sinks
 from sabaki.sources.pages import assemble_pages
@@ -139,9 +139,9 @@ def test_text_seam_and_conversion(spark):
 
 
 def test_block_tree(spark):
-    rows = spark.createDataFrame([(1, '{"children":[{"block_type":"Page"},{"block_type":"Table"}]}'), (2, '{"block_type":"Document"}'), (3, "nonsense")], "d int, json string")
+    rows = spark.createDataFrame([(1, '{"children":[{"block_type":"Page"},{"block_type":"Table"}]}'), (2, '{"block_type":"Document"}'), (3, "nonsense"), (4, '{"children":[]}')], "d int, json string")
     got = files.block_tree(rows, "d").orderBy("d", "block_id").collect()
-    assert [(r.d, r.block_id, r.block_type) for r in got] == [(1, 0, "Page"), (1, 1, "Table"), (2, 0, "Document"), (3, 0, None)]
+    assert [(r.d, r.block_id, r.block_type) for r in got] == [(1, 0, "Page"), (1, 1, "Table"), (2, 0, "Document")]
 
 
 def test_sinks(spark, tmp_path):
@@ -188,3 +188,12 @@ def test_breaker_stream_equals_batch(spark, tmp_path):
     batch = resilience.circuit_breaker(spark.createDataFrame(calls, schema), 2, 50)
     columns = ["key", "call_id", "met", "allowed", "state", "failures"]
     assert sorted(map(tuple, spark.table("breaker").select(*columns).collect())) == sorted(map(tuple, batch.select(*columns).collect()))
+
+
+def test_api(spark):
+    rows = spark.createDataFrame([(None, 404, "gone"), ("x", None, None), ("k", 400, None)], "key string, status int, message string")
+    at = F.lit("2024-01-02 03:04:05").cast("timestamp")
+    got = rows.select(api.key_rejection(F.col("key"), F.lit("k")), api.error_envelope(F.col("status"), F.col("message"), F.lit("/p"), at)).collect()
+    assert [r[0] for r in got] == ["API key is missing", "Invalid API key", None]
+    assert [(e["statusCode"], e["message"]) for e in map(json.loads, (r[1] for r in got))] == [(404, "gone"), (500, "Internal server error"), (400, "Error occurred")]
+    assert json.loads(got[0][1])["timestamp"] == "2024-01-02T03:04:05.000Z"
