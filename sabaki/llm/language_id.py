@@ -122,24 +122,23 @@ def fit(x: np.ndarray, y: list[str], steps: int = 300) -> Model:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on about ``sample_docs`` rows that have a language and aren't held out; twice as many would fail.
+    """Fit on about ``sample_docs`` rows that have a language and aren't held out.
 
-    Every language gives an equal share, or all it has; which rows, a hash of doc_id says.
+    Every language gives an equal share, or all it has; which rows, a hash of doc_id and text says. Repeated
+    rows count once.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     each = sample_docs / max(1, len(counts))
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, each / n))) for k, n in counts.items()), F.lit(0.0))
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(t).astype(np.float16).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["lang", "x"])
 
-    got = sorted(drawn.mapInArrow(made, "lang string, x binary").collect(), key=lambda r: (r["lang"], bytes(r["x"])))
-    if len(got) > 2 * sample_docs:
-        raise ValueError("doc_ids repeat so much that no even sample can be drawn by them")
+    got = sorted(drawn.mapInArrow(made, "lang string, x binary").distinct().collect(), key=lambda r: (r["lang"], bytes(r["x"])))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float16).reshape(-1, BUCKETS).astype(np.float32)
     return fit(x, [r["lang"] for r in got])
 
