@@ -56,10 +56,7 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` doesn't have, in any case."""
-    have = {c.lower() for c in df.columns}
-    name = f"__{stem}"
-    while name.lower() in have:
-        name = "_" + name
-    return name
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under names that no operator adds, and the new name of each old one in lower case."""
+    names = [f"in_{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), {c.lower(): n for c, n in zip(df.columns, names, strict=True)}

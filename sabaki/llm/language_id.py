@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import renamed, table
 
 UNKNOWN = "und"
 BUCKETS = 1 << 13
@@ -183,9 +183,9 @@ def keep_known_languages(docs: DataFrame, model: Model) -> DataFrame:
     ``REJECT``: so long a text of a learned language is told with near certainty.  Shorter texts that
     are merely ambiguous stay.
     """
-    names = [f"in_{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    text_at = [c.lower() for c in docs.columns].index("text")
+    plain, by = renamed(docs)
+    names = plain.columns
+    text_at = names.index(by["text"])
     schema = T.StructType([*plain.schema.fields, *T._parse_datatype_string("lang_pred string, score double, ambiguous boolean").fields])
     found = plain.mapInArrow(_predict(model, text_at, list(range(len(names)))), schema)
     unclear = (F.length(names[text_at]) >= LONG_TEXT) & (F.col("score") < REJECT)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, table
+from .common import materialise, table
 
 #: A chunk ends after a line with probability 1/DIVISOR, by the lines' content.
 DIVISOR = 3
@@ -50,19 +50,20 @@ def with_chunks(df: DataFrame, text: str, into: str) -> DataFrame:
     return df.withColumn(into, F.transform(bodies, chunk)).drop(lines, hashes, marked)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks of lines taken out of ``text``, and ``n_chunks`` and ``n_removed``.
+def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """``docs`` with repeated chunks of lines taken out of ``text``, and ``n_chunks`` and ``n_removed`` if ``counts``.
 
-    ``docs`` has doc_id and text; other columns pass through.  A null text stays null (no chunks); a text
-    of one line stays; where all chunks go the text is empty and the row stays.  A null doc_id comes
-    after all others.  Rows of equal doc_id are one document: those that share the smallest doc_id of a
-    chunk all keep its first occurrence.
+    ``docs`` has doc_id and text; other columns pass through (those that have the names of the counts are
+    replaced by them).  A null text stays null (no chunks); a text of one line stays; where all chunks go
+    the text is empty and the row stays.  A null doc_id comes after all others.  Rows of equal doc_id are
+    one document: those that share the smallest doc_id of a chunk all keep its first occurrence.
     """
-    key, chunks, gone = (fresh(docs, s) for s in ("key", "chunks", "gone"))
-    ordered = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    keyed = docs.withColumn(key, F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text")), 256))
-    several = keyed.filter(F.contains("text", F.lit("\n"))).select(F.col(key).alias("k"), ordered.alias("ord"), F.col("text").alias("t"))
-    cut = with_chunks(several, "t", "c")
+    names = [c for c in docs.columns if c.lower() not in ("n_chunks", "n_removed") or not counts]
+    others = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c.lower() != "text"), F.lit(0).alias("none"))
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    key = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text")), 256)
+    rows = docs.select(key.alias("k"), order.alias("ord"), F.col("text").alias("t"), others.alias("others"))
+    cut = with_chunks(rows.select("k", "ord", "t").filter(F.contains("t", F.lit("\n"))), "t", "c")
     bodies = cut.select("ord", F.inline_outer("c")).filter(F.col("lines") >= MIN_LINES)
     repeated = bodies.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("owner")).filter("n > 1")
     repeated = materialise(repeated.select(F.sha2("body", 256).alias("sha"), "owner"), "repeated-chunks")
@@ -70,17 +71,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     own = cut.withColumn("c", F.transform("c", lambda c: F.when(c["lines"] >= MIN_LINES, F.sha2(c["body"], 256))))
     own = own.withColumn("c", F.transform("c", lambda s, i: F.struct(s.alias("sha"), i.alias("i"), (F.array_position(F.col("c"), s) == i + 1).alias("first"))))
     found = own.select("k", "ord", F.inline_outer("c")).filter(F.col("sha").isNotNull()).join(repeated, "sha")
-    lists = found.filter(~(F.col("first") & (F.col("ord") == F.col("owner")))).groupBy("k").agg(F.collect_set("i").alias(gone))
-    lists = lists.withColumnRenamed("k", key)
-
-    joined = with_chunks(keyed.join(lists, key, "left"), "text", chunks)
-    kept = F.array_join(F.transform(F.filter(chunks, lambda _, i: ~F.array_contains(F.col(gone), i)), lambda c: c["body"]), "\n")
-    text = F.when(F.col(gone).isNotNull(), kept).otherwise(F.col("text"))
-    return joined.select(
-        *(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns),
-        F.greatest(F.coalesce(F.size(chunks), F.lit(0)), F.lit(0)).alias("n_chunks"),
-        F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0)).alias("n_removed"),
-    )
+    lists = found.filter(~(F.col("first") & (F.col("ord") == F.col("owner")))).groupBy("k").agg(F.collect_set("i").alias("gone"))
+
+    joined = with_chunks(rows.join(lists, "k", "left"), "t", "c")
+    kept = F.array_join(F.transform(F.filter("c", lambda _, i: ~F.array_contains(F.col("gone"), i)), lambda c: c["body"]), "\n")
+    text = F.when(F.col("gone").isNotNull(), kept).otherwise(F.col("t"))
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    out = [text.alias(c) if c.lower() == "text" else F.col(f"others.c{i}").alias(c) for i, c in enumerate(names)]
+    return joined.select(*out, *([size("c").alias("n_chunks"), size("gone").alias("n_removed")] if counts else []))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

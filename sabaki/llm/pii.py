@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import table, text_or_empty
+from .common import renamed, table, text_or_empty
 from .spans import listed, redacted, tagged, with_spans
 
 #: Fixed patterns.  They match what the plain forms match: a possessive run can't be shortened to a
@@ -218,9 +218,11 @@ def all_spans(base_only: bool = False) -> Column:
 
 def redact_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data in the text replaced by its kind in brackets; a null text stays null."""
-    found = find_personal_data(docs, text).withColumn("pii_spans", all_spans())
-    clean = F.when(F.col(f"`{text}`").isNotNull(), redacted(F.col(f"`{text}`"), F.col("pii_spans")))
-    return found.withColumn(text, clean).select(*(f"`{c}`" for c in docs.columns))
+    rows, names = renamed(docs)
+    own = names[text.lower()]
+    found = find_personal_data(rows, own).withColumn("spans", all_spans())
+    clean = F.when(F.col(own).isNotNull(), redacted(F.col(own), F.col("spans")))
+    return found.withColumn(own, clean).select(*rows.columns).toDF(*docs.columns)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

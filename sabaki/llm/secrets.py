@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import renamed, table, text_or_empty
 from .spans import SPANS, let, listed, redacted, tagged, with_spans
 
 #: Fixed patterns of the base kinds.  "Either case" is ASCII only.
@@ -155,10 +155,11 @@ def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A null text stays null.
     """
-    found = find_secrets(docs, text)
-    with_list = found.withColumn("secret_spans", all_spans())
-    clean = F.when(F.col(f"`{text}`").isNotNull(), redacted(F.col(f"`{text}`"), F.col("secret_spans")))
-    return with_list.withColumn(text, clean).select(*(f"`{c}`" for c in docs.columns))
+    rows, names = renamed(docs)
+    own = names[text.lower()]
+    found = find_secrets(rows, own).withColumn("spans", all_spans())
+    clean = F.when(F.col(own).isNotNull(), redacted(F.col(own), F.col("spans")))
+    return found.withColumn(own, clean).select(*rows.columns).toDF(*docs.columns)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

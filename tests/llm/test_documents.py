@@ -98,6 +98,8 @@ def test_battery_tells_random_tokens(spark):
 def test_redaction(spark, odd):
     out = secrets.redact_secrets(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
+    assert {(r.hex, r.judged, r["a.b"]) for r in [*out.collect(), *pii.redact_personal_data(odd).collect()]} == {(2, 5, 10)}
+    assert "É token=abcdef [ip]" in pii.redact_personal_data(odd).filter("doc_id = 6").first().text
     texts = {r.doc_id: r.text for r in out.collect()}
     assert texts[1] is None and texts[2] == "" and texts[6].startswith("É [assign] 1.2.3.4\n")
     df = spark.createDataFrame([(1, "token=0123456789abcdef0123456789abcdef end")], "doc_id long, text string")
@@ -336,8 +338,10 @@ def test_line_dedup(spark, documents):
 
 
 def test_line_dedup_of_odd_rows(odd):
-    out = line_dedup.dedup_lines(odd.drop("n_removed"))
-    assert out.columns == [*odd.drop("n_removed").columns, "n_chunks", "n_removed"] and out.count() == len(ODD)
+    out = line_dedup.dedup_lines(odd)
+    assert out.columns == [*(c for c in odd.columns if c != "n_removed"), "n_chunks", "n_removed"] and out.count() == len(ODD)
+    same = line_dedup.dedup_lines(odd, counts=False)
+    assert same.columns == odd.columns and {r.n_removed for r in same.collect()} == {9}
     texts = {r.doc_id: (r.text, r.n_chunks) for r in out.collect()}
     assert texts[1] == (None, 0) and texts[2][0] == "" and texts[9][0] == "word " * 30_000
 
