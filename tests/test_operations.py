@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sabaki.operators import api, evaluate, ingest, metrics, resilience, ui
 from sabaki.operators.resilience import Breaker
+from sabaki.plans.extraction import extract
 from sabaki.sources import files, sinks
 from sabaki.sources.pages import assemble_pages
 from sabaki.streaming import uploads
@@ -197,3 +198,27 @@ def test_api(spark):
     assert [r[0] for r in got] == ["API key is missing", "Invalid API key", None]
     assert [(e["statusCode"], e["message"]) for e in map(json.loads, (r[1] for r in got))] == [(404, "gone"), (500, "Internal server error"), (400, "Error occurred")]
     assert json.loads(got[0][1])["timestamp"] == "2024-01-02T03:04:05.000Z"
+
+
+def test_live_cache_entries(spark):
+    cache = spark.sql("SELECT 'k' AS cache_key, 'old' AS payload, TIMESTAMP '2024-01-01 00:00:00' AS written_at, 60 AS ttl_s UNION ALL SELECT 'k', 'new', TIMESTAMP '2024-01-01 00:00:30', 60 UNION ALL SELECT 'z', 'gone', TIMESTAMP '2024-01-01 00:00:00', 10")
+    got = resilience.live_entries(cache, F.lit("2024-01-01 00:00:40").cast("timestamp")).collect()
+    assert [(r.cache_key, r.payload) for r in got] == [("k", "new")]
+
+
+def test_write_results(spark, tmp_path):
+    results = extract(spark.createDataFrame([(1, V3), (2, "")], "doc_id int, text string"))
+    for _ in range(2):
+        sinks.write_results(results, str(tmp_path), F.lit(0))
+    rows = spark.read.parquet(str(tmp_path / "documents"))
+    assert sorted((r.doc_id, r.status) for r in rows.collect()) == [(1, "NEEDS_REVIEW"), (1, "NEEDS_REVIEW"), (2, "FAILED"), (2, "FAILED")]
+    payload = json.loads(rows.filter("doc_id = 1").first().canonical_json)
+    assert payload["status"] == "SUCCESS" and payload["records"][0]["chassis"] == "KSP210-0116561"
+    assert spark.read.parquet(str(tmp_path / "audit")).filter("document_id = 1").first().details == '{"rowCount":1,"confidence":0.9}'
+
+
+def test_duplicate_uploads(spark):
+    uploads_ = spark.createDataFrame([(10, "h", "t", 1), (11, "h", "t", 2), (12, "h", "u", 1), (13, "x", "t", 1)], "upload_id int, file_hash string, tenant_id string, arrival int")
+    existing = spark.createDataFrame([(1, "x", "t", "FAILED", 1), (3, "x", "t", "COMPLETED", 3), (2, "x", "t", "NEEDS_REVIEW", 2)], "document_id int, file_hash string, tenant_id string, status string, created int")
+    got = {r.upload_id: (r.document_id, r.job_id, r.is_duplicate) for r in ingest.dedup_uploads(uploads_, existing).collect()}
+    assert got == {10: (10, "10", False), 11: (10, "dup_10", True), 12: (12, "12", False), 13: (2, "dup_2", True)}
