@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 CLOSED, OPEN, HALF_OPEN = "CLOSED", "OPEN", "HALF_OPEN"
 TTL_SECONDS = {"extraction": 86_400, "translation": 604_800, "segmentation": 86_400}
 
@@ -58,6 +60,7 @@ def circuit_breaker(calls: DataFrame, threshold: int = 5, recovery_ms: int = 30_
                 out.append((*circuit.observe(int(at), bool(ok)), circuit.state, circuit.failures))
             yield b.assign(**{c: [o[i] for o in out] for i, c in enumerate(("met", "allowed", "state", "failures"))})
 
+    ship(calls.sparkSession)
     rows = calls.select("key", "at_ms", "call_id", "ok").repartition("key").sortWithinPartitions("key", "at_ms", "call_id")
     kind = calls.schema["key"].dataType.simpleString()
     return rows.mapInPandas(run, f"key {kind}, at_ms long, call_id long, ok boolean, met string, allowed boolean, state string, failures int")

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shipping import ship
+from ..functions.text import trim_js
+
 UPLOAD_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 RECORD_SCHEMA = T.StructType(
@@ -93,14 +96,13 @@ def extract_text(files: DataFrame, reader: Callable[[bytes], str], key: str = "p
         for b in batches:
             yield pd.DataFrame({key: b[key], "text": [read(c) for c in b["content"]]})
 
+    ship(files.sparkSession)
     kind = files.schema[key].dataType.simpleString()
     return files.select(key, "content").mapInPandas(run, f"`{key}` {kind}, text string")
 
 
 def with_ocr_fallback(texts: DataFrame, recognised: DataFrame, key: str = "path") -> DataFrame:
     """Texts, with the recognised ones where fewer than ten characters were found."""
-    from ..functions.text import trim_js
-
     short = F.length(trim_js(F.coalesce("text", F.lit("")))) < 10
     other = recognised.select(key, F.col("text").alias("recognised"))
     return texts.join(other, key, "left").select(key, F.when(short, F.coalesce("recognised", F.lit(""))).otherwise(F.col("text")).alias("text"))

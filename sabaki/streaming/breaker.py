@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.shipping import ship
 from ..operators.resilience import Breaker
 
 OUTPUT = "key string, at_ms long, call_id long, ok boolean, met string, allowed boolean, state string, failures int"
@@ -32,4 +33,5 @@ def stream_circuit_breaker(calls: DataFrame, threshold: int = 5, recovery_ms: in
         state.update((circuit.state, circuit.failures, circuit.failed_at))
         yield rows[["at_ms", "call_id", "ok"]].assign(key=key[0], **{c: [o[i] for o in out] for i, c in enumerate(("met", "allowed", "state", "failures"))})[["key", "at_ms", "call_id", "ok", "met", "allowed", "state", "failures"]]
 
+    ship(calls.sparkSession)
     return calls.groupBy("key").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
