@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .common import materialise, table
 
 #: Deepest directory: 2**20 entries, 8 MB on the driver.
@@ -163,6 +164,7 @@ def build_index(docs: DataFrame, bucket_rows: int = 8192, key_bits: int = 64, pr
 
     ``docs`` has doc_id and text.  ``key_bits`` (64) may be lowered to force collisions in tests.
     """
+    ship(docs.sparkSession)
     bits = min(prefix_bits, key_bits, MAX_DEPTH)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashed = materialise(docs.mapInArrow(_hashes, "doc_id long, sha binary"), "exact-hash") if hashed is None else hashed
@@ -184,6 +186,7 @@ def exact_duplicates(docs: DataFrame, bucket_rows: int = 8192, key_bits: int = 6
     of rows that tie on doc_id one stays.  Other columns of ``docs`` are not used.  An empty table
     gives an empty result.
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashed = materialise(docs.mapInArrow(_hashes, "doc_id long, sha binary"), "exact-hash")
     pages = build_index(docs, bucket_rows, key_bits, hashed=hashed)

@@ -12,6 +12,7 @@ whole texts in one pass without a shuffle; the model (``buckets`` x bits floats)
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import re
@@ -24,15 +25,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shipping import ship
 from .common import renamed, table
 
 UNKNOWN = "und"
 BUCKETS = 1 << 13
 #: Bound on the labelled rows that are fitted on, all languages together.
 SAMPLE_DOCS = 2400
-#: Texts with this many letters should be clear; where they aren't, the language is none of the learned.
-LONG_TEXT = 200
-REJECT = 0.35
+#: Most letters of a text in a learned language are letters that the sample has.
+FOREIGN = 0.5
 #: The two best scores of an ambiguous text differ by less.
 AMBIGUOUS = 0.2
 _LETTER = re.compile(r"[^\W\d_]")
@@ -79,6 +80,11 @@ def codewords(classes: int, seed: int = 7) -> np.ndarray:
     return best
 
 
+@functools.lru_cache(maxsize=8)
+def _other_letter(letters: str) -> re.Pattern:
+    return re.compile(rf"[^\W\d_{letters}]")
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -87,6 +93,12 @@ class Model:
     bias: np.ndarray
     trust: np.ndarray
     scale: float
+    letters: str = ""
+
+    def foreign(self, text: str) -> float:
+        """Share of the letters of ``text`` that the training sample doesn't have."""
+        letters = len(_LETTER.findall(text))
+        return len(_other_letter(self.letters).findall(text.lower())) / letters if letters else 0.0
 
     def losses(self, x: np.ndarray) -> np.ndarray:
         """Loss of every codeword (columns) for every row of features."""
@@ -127,6 +139,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     Every language gives an equal share, or all it has; which rows, a hash of doc_id and text says. Repeated
     rows count once.
     """
+    ship(docs.sparkSession)
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     each = sample_docs / max(1, len(counts))
@@ -135,16 +148,20 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t).astype(np.float16).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["lang", "x"])
+            texts = b.column(1).to_pylist()
+            x = [features(t).astype(np.float16).tobytes() for t in texts]
+            letters = ["".join(sorted(set(_LETTER.findall(t.lower())))) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), pa.array(letters, pa.string())], ["lang", "x", "letters"])
 
-    got = sorted(drawn.mapInArrow(made, "lang string, x binary").distinct().collect(), key=lambda r: (r["lang"], bytes(r["x"])))
+    got = sorted(drawn.mapInArrow(made, "lang string, x binary, letters string").distinct().collect(), key=lambda r: (r["lang"], bytes(r["x"])))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float16).reshape(-1, BUCKETS).astype(np.float32)
-    return fit(x, [r["lang"] for r in got])
+    model = fit(x, [r["lang"] for r in got])
+    model.letters = "".join(sorted(set().union(*(r["letters"] for r in got))))
+    return model
 
 
 def _predict(model: Model, text_at: int, emit: list[int]):
-    """Columns ``emit`` of each batch, then lang_pred, score and ambiguous of column ``text_at``."""
+    """Columns ``emit`` of each batch, then lang_pred, score, ambiguous and foreign of column ``text_at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,36 +177,38 @@ def _predict(model: Model, text_at: int, emit: list[int]):
                 gap[rows] = ranked[:, -1] - (ranked[:, -2] if s.shape[1] > 1 else 0)
                 for i, k in zip(rows, best, strict=True):
                     lang[i] = model.languages[k]
-            added = [pa.array(lang, pa.string()), pa.array(score), pa.array(gap < AMBIGUOUS)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in emit), *added], [*(b.schema.names[i] for i in emit), "lang_pred", "score", "ambiguous"])
+            foreign = [model.foreign(t) if t else 0.0 for t in texts]
+            added = [pa.array(lang, pa.string()), pa.array(score), pa.array(gap < AMBIGUOUS), pa.array(foreign, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in emit), *added], [*(b.schema.names[i] for i in emit), "lang_pred", "score", "ambiguous", "foreign"])
 
     return run
 
 
 def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score (0 to 1) and ambiguous for every row of ``docs`` (doc_id, text).
+    """doc_id, held_out, lang_pred, score (0 to 1), ambiguous and foreign (share of unknown letters) for every row of ``docs`` (doc_id, text).
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text where nothing was
     learned.  A null doc_id is never held out.  Rows, repeated or not, are treated one by one.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(model, 2, [0, 1]), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(_predict(model, 2, [0, 1]), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean, foreign double")
 
 
 def keep_known_languages(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of ``docs`` in a learned language, all columns as they are.
 
-    Rejected are ``und`` and texts of at least ``LONG_TEXT`` characters whose score is below
-    ``REJECT``: so long a text of a learned language is told with near certainty.  Shorter texts that
-    are merely ambiguous stay.
+    Rejected are ``und`` and texts most of whose letters the training sample doesn't have (another
+    script).  Ambiguous texts stay, as a text in two of the languages is one.
     """
+    ship(docs.sparkSession)
     plain, by = renamed(docs)
     names = plain.columns
     text_at = names.index(by["text"])
-    schema = T.StructType([*plain.schema.fields, *T._parse_datatype_string("lang_pred string, score double, ambiguous boolean").fields])
+    schema = T.StructType([*plain.schema.fields, *T._parse_datatype_string("lang_pred string, score double, ambiguous boolean, foreign double").fields])
     found = plain.mapInArrow(_predict(model, text_at, list(range(len(names)))), schema)
-    unclear = (F.length(names[text_at]) >= LONG_TEXT) & (F.col("score") < REJECT)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & ~F.coalesce(unclear, F.lit(False))).select(*names).toDF(*docs.columns)
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("foreign") <= FOREIGN))
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

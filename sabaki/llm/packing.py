@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .common import materialise, table
 
 CAPACITY = 2048
@@ -188,6 +189,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
     packed like any other; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = materialise(docs.mapInArrow(_pieces(path or tokenizer_path(), capacity, with_ids), _ROWS + ", ids array<int>" * with_ids), "pieces")
     counts = pieces.groupBy("length", "task").count()

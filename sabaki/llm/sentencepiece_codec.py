@@ -27,6 +27,7 @@ import sentencepiece as spm
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .common import table
 
 SPACE = "▁"
@@ -305,12 +306,14 @@ def _decode(path: str):
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ids (array of int) of every row of ``docs`` (doc_id, text); a null text has no ids."""
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_encode(path or model_path()), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and text of every row of ``encoded`` (doc_id, ids); null ids give an empty text."""
+    ship(encoded.sparkSession)
     rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
     return rows.mapInArrow(_decode(path or model_path()), "doc_id long, text string")
 
@@ -338,5 +341,6 @@ def _digests(path: str):
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids) and decoded_sha256 of each document."""
+    ship(spark)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_digests(model_path()), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")

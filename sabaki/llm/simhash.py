@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .common import materialise, table
 
 SHINGLE = 4
@@ -211,6 +212,7 @@ def _search(radius: int):
 
 def near_links(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp): a spanning forest of each shard's links."""
+    ship(prints.sparkSession)
     n = prints.count()
     keyed = prints.select("fp", F.explode(_keys(F.col("fp"), radius, n)).alias("k")).select("fp", "k.choice", "k.bits")
     full = keyed.groupBy("choice", "bits").count().filter(F.col("count") > shard_rows // 2)
@@ -262,6 +264,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def _classes(docs: DataFrame, radius: int, shard_rows: int) -> DataFrame:
     """doc_id, th (hash of the text), fp, root and component_id of each row of ``docs``."""
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("th"))
     prints = materialise(docs.mapInArrow(_fingerprints, "doc_id long, fp long, th long"), "prints")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")

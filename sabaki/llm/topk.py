@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .common import materialise, table
 
 K = 5
@@ -174,7 +175,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = SH
     component (or one of 2**55 or more, whose integer isn't a long) take no part.  Only vectors of equal length meet.  A query's own
     vec_id is no candidate; of rows that repeat a vec_id and vector, one takes part.
     """
-    spark = vectors.sparkSession
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v"), is_query.alias("is_query"))
     rows = rows.filter("vec_id IS NOT NULL AND v IS NOT NULL").withColumn("dim", F.size("v")).dropDuplicates(["vec_id", "v"])
     rows = materialise(rows, "vectors")

@@ -51,6 +51,13 @@ def test_language_of_odd_rows(odd, language_model):
     assert kept.filter("doc_id = 4").count() == 2
 
 
+def test_other_scripts_and_mixtures(spark, language_model):
+    mixed = "The thing was there and of the ering. " * 5 + "Der die und von schein keit zu der. " * 5 + "Que la de los ción en el ado. " * 5
+    rows = [(1, "Это обычный текст на другом языке. " * 20), (2, "これは別の言語の文章です。" * 20), (3, mixed), (4, "The and of Это")]
+    kept = language_id.keep_known_languages(spark.createDataFrame(rows, "doc_id long, text string"), language_model)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4]
+
+
 def test_language_needs_labels(spark, odd):
     model = language_id.train(odd)
     assert model.languages == []
