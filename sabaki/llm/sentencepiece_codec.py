@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 import zlib
 from collections import defaultdict
@@ -34,6 +35,8 @@ SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Words that a worker remembers at a time.
 CACHE_WORDS = 400_000
+#: Documents whose new words are encoded together.
+SLICE = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -249,12 +252,13 @@ class Codec:
         cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         split = [[n] if self.across and n else cut.findall(n) for n in map(self.normalised, texts)]
         cache = self.words
-        new = list({w for ws in split for w in ws if w not in cache})
+        words = set(itertools.chain.from_iterable(split))
+        new = list(words.difference(cache))
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
-            new = list({w for ws in split for w in ws})
+            new = list(words)
         cache.update(zip(new, self.encode_words(new), strict=True))
-        return [np.frombuffer(b"".join([cache[w] for w in ws]), "<i4") for ws in split]
+        return [np.frombuffer(b"".join(map(cache.__getitem__, ws)), "<i4") for ws in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ``ids``: bytes are joined to characters, U+2581 is a space, the dummy prefix goes."""
@@ -284,8 +288,8 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
                 ids = c.encode([t or "" for t in part.column(1).to_pylist()])
                 offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
                 flat = np.concatenate([*ids, np.zeros(0, np.int32)])
