@@ -29,7 +29,7 @@ from ..functions.shipping import ship
 from .common import renamed, table
 
 UNKNOWN = "und"
-BUCKETS = 1 << 13
+BUCKETS = 1 << 12
 #: Bound on the labelled rows that are fitted on, all languages together.
 SAMPLE_DOCS = 2400
 #: Most letters of a text in a learned language are letters that the sample has.
@@ -111,7 +111,7 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: list[str], steps: int = 300) -> Model:
+def fit(x: np.ndarray, y: list[str], steps: int = 150) -> Model:
     """Logistic classifiers by accelerated gradient descent, every class with the same total weight."""
     languages = sorted(set(y))
     own = np.array([languages.index(v) for v in y], int)
