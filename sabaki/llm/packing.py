@@ -61,8 +61,12 @@ def encoder(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    @functools.cache
+    def slow() -> Tokenizer:
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        return t
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = {t["content"] for t in spec.get("added_tokens", ())}
@@ -70,7 +74,7 @@ def encoder(path: str):
     ranks = {bytes(chars[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: slow.encode(text, add_special_tokens=False).ids if PLAIN.search(text) else fast.encode_ordinary(text)
+    return lambda text: slow().encode(text, add_special_tokens=False).ids if PLAIN.search(text) else fast.encode_ordinary(text)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
