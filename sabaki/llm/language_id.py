@@ -97,8 +97,9 @@ class Model:
 
     def foreign(self, text: str) -> float:
         """Share of the letters of ``text`` that the training sample doesn't have."""
-        letters = len(_LETTER.findall(text))
-        return len(_other_letter(self.letters).findall(text.lower())) / letters if letters else 0.0
+        low = text.lower()
+        others = len(_other_letter(self.letters).findall(low))
+        return others / len(_LETTER.findall(low)) if others else 0.0
 
     def losses(self, x: np.ndarray) -> np.ndarray:
         """Loss of every codeword (columns) for every row of features."""
