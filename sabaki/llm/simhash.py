@@ -265,7 +265,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 def _classes(docs: DataFrame, radius: int, shard_rows: int) -> DataFrame:
     """doc_id, th (hash of the text), fp, root and component_id of each row of ``docs``."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("th"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("th"))
     prints = materialise(docs.mapInArrow(_fingerprints, "doc_id long, fp long, th long"), "prints")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     reached = components(near_links(nodes.select("fp"), radius, shard_rows))
@@ -275,7 +275,7 @@ def _classes(docs: DataFrame, radius: int, shard_rows: int) -> DataFrame:
     return prints.join(linked.select("fp", "root").join(least, "root"), "fp")
 
 
-def _text_hash() -> Column:
+def text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
@@ -294,10 +294,15 @@ def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SH
 
     Of rows that tie on doc_id within a component one stays, and of a component without doc_ids too.
     """
-    chosen = _classes(docs, radius, shard_rows).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return keep_least(docs, _classes(docs, radius, shard_rows))
+
+
+def keep_least(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The row of each component of ``classes`` (doc_id, th, root, component_id) with the smallest doc_id."""
+    chosen = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = chosen.select(F.col("doc_id").alias("id"), "th", "root").distinct()
     names = [f"in_{i}" for i in range(len(docs.columns))]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("own_th"), *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("own_th"), *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)))
     joined = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["id"]) & (rows["own_th"] == chosen["th"]))
     nth = F.row_number().over(Window.partitionBy("doc_id", "root").orderBy("th"))
     return joined.withColumn("nth", nth).filter("nth = 1").select(*names).toDF(*docs.columns)

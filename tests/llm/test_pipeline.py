@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import corpus_pipeline
@@ -61,6 +62,35 @@ def test_stages(spark, sf_dir, documents):
     assert len({r.sequence_id for r in rows}) == brute.best_fit_decreasing([n for x in lengths.values() for n in x], 2048)
 
 
+def shingle_sets(rows):
+    words = {d: (t or "").lower().split() for d, t in rows}
+    return {d: frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for d, w in words.items()}
+
+
+def alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_near_copies_have_similar_shingles(spark, documents):
+    """Also in groups that are over the bound for all pairs."""
+    draw = random.Random(5)
+    word = lambda: f"w{draw.randrange(5000)}"
+    rows = [(r.doc_id, r.text.lower()) for r in documents.filter("text is not null").select("doc_id", "text").collect() if r.text.isascii()]
+    for k in range(3):
+        base = [word() for _ in range(120)]
+        for i in range(60):
+            own = list(base)
+            for _ in range(draw.randrange(4)):
+                own[draw.randrange(120)] = word()
+            rows.append((10_000 + 100 * k + i, " ".join(own)))
+    root = brute.components(shingle_sets(rows), alike)
+    kept = sorted(d for d in root if root[d] == d)
+    assert len(rows) - len(kept) > 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.simhash_near_dedup(spark, docs, None)
+    assert sorted(r.doc_id for r in got.collect()) == kept
+
+
 def test_run_equals_stages(spark, sf_dir, documents):
     packed = run_stages(spark, documents, sf_dir)[-1]
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
