@@ -2,8 +2,8 @@
 
 Everything is a DataFrame expression over one row, so there is no shuffle.  Beside the base patterns
 the battery judges every token of 20 or more characters of an encoding alphabet.  The encoding is
-inferred from the characters (upper-case hex, base32, base64 and its URL form); tokens of letters
-alone fit none.  Under the null hypothesis, a token of random bytes, three tests give p-values:
+inferred from the characters (upper-case hex, base32 of either case, base64 and its URL form, base36 of
+lower case, in which - and _ separate); tokens of letters alone fit none.  Under the null hypothesis, a token of random bytes, three tests give p-values:
 chi-squared uniformity over the encoding's alphabet, Wald-Wolfowitz runs above and below the
 alphabet's middle, and lag-1 serial correlation.  Fisher's method combines them to the token's
 p-value.  Tokens for which randomness is rejected are let go; Benjamini-Hochberg control with
@@ -28,10 +28,12 @@ KINDS = ("assign", "access", "hex", "random")
 #: Encoding, pattern of the whole token, alphabet in order of value.
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ENCODINGS = (
-    ("hex", "^(?=.*[0-9])(?=.*[A-F])[0-9A-F]{24,}$", "0123456789ABCDEF"),
+    ("hex", "^(?=.*[0-9])(?=.*[A-F])[0-9A-F]{20,}$", "0123456789ABCDEF"),
     ("base32", "^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", _UPPER + "234567"),
     ("base64", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
     ("base64url", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
+    ("base32 lower", "^(?=.*[2-7])(?=.*[a-z])[a-z2-7]+$", _LOWER + "234567"),
+    ("base36", "^(?=.*[0-9])(?=.*[a-z])[a-z0-9_-]+$", _DIGITS + _LOWER),
 )
 FDR = 0.05
 
@@ -50,7 +52,7 @@ def _battery(span: Column) -> Column:
     token = span["match"]
     encoding = F.coalesce(*(F.when(token.rlike(p), F.lit(name)) for name, p, _ in ENCODINGS))
     alphabet = F.coalesce(*(F.when(token.rlike(p), F.lit(letters)) for _, p, letters in ENCODINGS))
-    values = let(alphabet, lambda a: F.transform(F.split(token, ""), lambda c: F.instr(a, c) - 1))
+    values = let(alphabet, lambda a: F.filter(F.transform(F.split(token, ""), lambda c: F.instr(a, c) - 1), lambda v: v >= 0))  # separators have none
     return F.struct(span["start"].alias("start"), span["end"].alias("end"), encoding.alias("encoding"), F.length(alphabet).alias("size"), values.alias("v"))
 
 

@@ -102,6 +102,19 @@ def test_battery_tells_random_tokens(spark):
     assert sum(got[i] for i in range(len(random), len(rows))) == 0
 
 
+def test_battery_takes_lower_case_and_short_hex(spark):
+    rng = np.random.default_rng(6)
+    kinds = [("0123456789abcdefghijklmnopqrstuvwxyz", 40, ""), ("abcdefghijklmnopqrstuvwxyz234567", 40, ""), ("0123456789abcdefghijklmnopqrstuvwxyz", 32, "key_"), ("0123456789ABCDEF", 22, "")]
+    for letters, n, prefix in kinds:
+        tokens = [prefix + "".join(rng.choice(list(letters), n - 2)) + letters[-2:] for _ in range(60)]
+        tokens = [t for t in tokens if any(c in "2345" for c in t)]
+        rows = [(i, f"see {t} here") for i, t in enumerate(tokens)]
+        got = [len(r.random) for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        assert sum(got) >= 0.8 * len(tokens)
+    natural = [(0, "abcdefghijklmnopqrstuvwxyz0123456789"), (1, "aaaaaaaaaaaaaaaaaaaa1111")]
+    assert not any(r.random for r in secrets.find_secrets(spark.createDataFrame(natural, "doc_id long, text string")).collect())
+
+
 def test_redaction(spark, odd):
     out = secrets.redact_secrets(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
