@@ -57,14 +57,38 @@ def dedup_uploads(uploads: DataFrame, existing: DataFrame) -> DataFrame:
     FAILED already has is answered with that document (the earliest, where the source leaves it
     open), as is a later upload of the batch with the first one.  Adds document_id, job_id, is_duplicate.
     """
-    live = existing.filter("status <> 'FAILED'").groupBy("file_hash", "tenant_id").agg(F.min_by("document_id", F.struct("created", "document_id")).alias("live_id"))
-    first = F.first("upload_id").over(Window.partitionBy("file_hash", "tenant_id").orderBy("arrival", "upload_id"))
-    df = uploads.withColumn("first_id", first).join(live, ["file_hash", "tenant_id"], "left")
+    key = ["file_hash", "tenant_id"]
+    live = existing.filter("status <> 'FAILED'").groupBy(*key).agg(F.min_by("document_id", F.struct("created", "document_id")).alias("live_id"))
+    # Aggregates, not a window: a file that a third of all rows upload is a row a task, and the join's side can be split.
+    first = uploads.groupBy(*key).agg(F.min_by("upload_id", F.struct("arrival", "upload_id")).alias("first_id"))
+    first = first.join(live, key, "left").select(*(F.col(c).alias(f"own_{c}") for c in key), "first_id", "live_id")
+    df = uploads.join(first, [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in key])
     target = F.coalesce("live_id", "first_id")
     dup = F.col("live_id").isNotNull() | (F.col("first_id") != F.col("upload_id"))
     return df.select("upload_id", "file_hash", "tenant_id", target.alias("document_id"), F.when(dup, F.concat(F.lit("dup_"), target.cast("string"))).otherwise(F.col("upload_id").cast("string")).alias("job_id"), dup.alias("is_duplicate"))
 
 
+def upload_rows(uploads: DataFrame) -> DataFrame:
+    """The stored row of each new upload (document_id, tenant_id, file_hash, name, mime, size, arrival): queued, not yet processed."""
+    return uploads.select(
+        "document_id",
+        tenant_of(F.col("tenant_id")).alias("tenant_id"),
+        "file_hash",
+        F.col("name").alias("original_name"),
+        F.col("mime").alias("mime_type"),
+        F.col("size").cast("long").alias("file_size"),
+        F.lit("QUEUED").alias("status"),
+        F.lit("INGESTED").alias("stage"),
+        F.col("arrival").alias("created"),
+    )
+
+
+def upload_audit(uploads: DataFrame) -> DataFrame:
+    """The audit row of each new upload: by its user, with size and name."""
+    details = F.to_json(F.struct(F.col("size").cast("long").alias("size"), F.col("name").alias("originalName")))
+    return uploads.select("document_id", F.lit("uploaded").alias("action"), F.lit("INGESTED").alias("stage"), F.lit("user").alias("actor"), details.alias("details"), F.col("arrival").alias("created_at"))
+
+
 def backpressure(jobs: DataFrame, capacity: int = QUEUE_CAPACITY) -> DataFrame:
     """Counts by state of a queue's jobs (state) and whether a further one is rejected."""
     n = lambda s: F.count_if(F.col("state") == s)
@@ -120,3 +144,18 @@ def upsert_glossary(current: DataFrame, seed: DataFrame) -> DataFrame:
 def cascade_delete(children: DataFrame, deleted: DataFrame, key: str = "document_id") -> DataFrame:
     """Children whose document isn't among ``deleted``."""
     return children.join(deleted.select(key).distinct(), key, "left_anti")
+
+
+def lookup_by_key(asked: DataFrame, stored: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``stored`` that ``asked`` names, and an error row for each key that isn't there."""
+    keys = asked.select(key).distinct()
+    missing = keys.join(stored.select(key), key, "left_anti")
+    return stored.join(keys, key, "left_semi"), missing.select(key, F.concat(F.lit("Document "), F.col(key).cast("string"), F.lit(" not found")).alias("error"))
+
+
+def with_children(parents: DataFrame, children: DataFrame, key: str, order: str, into: str = "children") -> DataFrame:
+    """``parents`` with the array of their ``children`` (all columns but the key) by ``order``; empty without any."""
+    own = F.struct(order, *(c for c in children.columns if c not in (key, order)))
+    lists = children.groupBy(key).agg(F.array_sort(F.collect_list(own)).alias(into))
+    joined = parents.join(lists, key, "left")
+    return joined.withColumn(into, F.coalesce(into, F.array().cast(lists.schema[into].dataType)))

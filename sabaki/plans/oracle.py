@@ -288,4 +288,33 @@ SELECT key, call_id, met, allowed, state, failures FROM w WHERE n > 0""",
     "retry_schedule": "SELECT event_id AS job_id, k AS attempt, (5 * 2 ** (k - 2))::BIGINT AS delay_s FROM events CROSS JOIN (VALUES (2), (3)) t(k) WHERE event_type = 'error'",
     "ocr_page_assembly": "SELECT conv_id, string_agg('--- PAGE ' || rn || ' ---' || chr(10) || coalesce(text, '') || chr(10) || chr(10), '' ORDER BY rn) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY conv_id",
     "ui_confidence_band": CHAIN + "SELECT doc_id, pos, CASE WHEN confidence < 0.7 THEN 'low' WHEN confidence < 0.9 THEN 'medium' ELSE 'high' END AS band, CASE WHEN confidence = 0 THEN 95 ELSE round(confidence * 100)::INTEGER END AS shown_percent FROM validated",
+    "upload_rows": "SELECT page_id AS document_id, CASE page_id % 3 WHEN 0 THEN 'default-tenant' WHEN 1 THEN 't1' ELSE 't2' END AS tenant_id, sha256(html) AS file_hash, url AS original_name, 'application/pdf' AS mime_type, strlen(html)::BIGINT AS file_size, 'QUEUED' AS status, 'INGESTED' AS stage, page_id AS created FROM pages",
+    "upload_audit": "SELECT page_id AS document_id, 'uploaded' AS action, 'INGESTED' AS stage, 'user' AS actor, '{\"size\":' || strlen(html) || ',\"originalName\":\"' || url || '\"}' AS details, page_id AS created_at FROM pages",
+    "breaker_timeouts": """
+WITH RECURSIVE c AS (
+  SELECT user_id AS key, epoch_ms(ts) AS at_ms, event_id AS call_id, event_type <> 'error' AND coalesce(value <= 60, true) AS good, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events
+), w AS (
+  SELECT key, 0::BIGINT AS n, NULL::BIGINT AS call_id, 'CLOSED' AS met, true AS allowed, 'CLOSED' AS state, 0 AS failures, 0::BIGINT AS failed_at FROM (SELECT DISTINCT key FROM c)
+  UNION ALL
+  SELECT key, n, call_id, met, met <> 'OPEN',
+         CASE WHEN met = 'OPEN' THEN 'OPEN' WHEN good THEN 'CLOSED' WHEN met = 'HALF_OPEN' OR failures + 1 >= 2 THEN 'OPEN' ELSE 'CLOSED' END,
+         CASE WHEN met = 'OPEN' THEN failures WHEN good THEN 0 ELSE failures + 1 END, CASE WHEN met = 'OPEN' OR good THEN failed_at ELSE at_ms END
+  FROM (SELECT c.key, c.n, c.call_id, c.good, c.at_ms, w.failures, w.failed_at, CASE WHEN w.state = 'OPEN' AND c.at_ms - w.failed_at >= 36000000 THEN 'HALF_OPEN' ELSE w.state END AS met
+        FROM w JOIN c ON c.key = w.key AND c.n = w.n + 1)
+)
+SELECT key, call_id, met, allowed, state, failures FROM w WHERE n > 0""",
+    "cache_writes": "SELECT user_id AS cache_key, event_id AS written_at, 86400 AS ttl_s, event_type AS payload FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'purchase' DESC, event_id DESC) AS rn FROM events WHERE event_type IN ('signup', 'purchase')) WHERE rn = 1",
+    "missing_documents": "SELECT DISTINCT l_orderkey + l_linenumber * 1000 AS o_orderkey, 'Document ' || (l_orderkey + l_linenumber * 1000) || ' not found' AS error FROM lineitem WHERE l_orderkey + l_linenumber * 1000 NOT IN (SELECT o_orderkey FROM orders)",
+    "found_documents": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey + l_linenumber * 1000 FROM lineitem)",
+    "children_lists": "SELECT o_orderkey, coalesce(children, '') AS children FROM orders LEFT JOIN (SELECT l_orderkey AS o_orderkey, array_to_string(list_sort(list(l_linenumber || ':' || l_partkey)), ',') AS children FROM lineitem GROUP BY l_orderkey) USING (o_orderkey)",
+    "ui_status": """
+WITH s AS (SELECT o_orderkey, ['QUEUED', 'PROCESSING', 'CLASSIFIED', 'EXTRACTED', 'STORED', 'COMPLETED', 'NEEDS_REVIEW', 'FAILED', ''][CASE WHEN o_orderkey % 10 < 9 THEN o_orderkey % 10 + 1 END] AS st, CASE WHEN o_orderkey % 10 <> 5 THEN floor(o_totalprice)::BIGINT END AS m FROM orders)
+SELECT o_orderkey, CASE WHEN st = 'QUEUED' THEN 'Queued' WHEN st IN ('COMPLETED', 'STORED', 'NEEDS_REVIEW') THEN 'Complete' ELSE coalesce(nullif(st, ''), 'Unknown') END AS badge,
+       CASE st WHEN 'QUEUED' THEN 20 WHEN 'CLASSIFIED' THEN 50 WHEN 'EXTRACTED' THEN 75 WHEN 'PROCESSING' THEN 40 WHEN 'COMPLETED' THEN 100 WHEN 'STORED' THEN 100 WHEN 'NEEDS_REVIEW' THEN 100 ELSE 0 END AS progress,
+       coalesce(format('{:,}', m), '-') AS money FROM s""",
+    "request_errors": """
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Invalid API key' ELSE 'API key is missing' END AS rejection,
+       CASE page_id % 3 WHEN 0 THEN '404' WHEN 1 THEN '400' ELSE '500' END AS status,
+       CASE WHEN page_id % 5 = 0 THEN 'gone' WHEN page_id % 3 = 2 THEN 'Internal server error' ELSE 'Error occurred' END AS message, url AS path FROM pages""",
+    "latency_samples": f"WITH s AS ({_SAMPLES}) SELECT metric, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY ts DESC, event_id DESC) AS rn FROM s) WHERE rn <= 10000",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import exploded
 from ..functions.text import clean_lines, content_hash, document_year, language_of, template_of
-from ..operators import classify, evaluate, ingest, metrics, resilience, ui
+from ..operators import api, classify, evaluate, ingest, metrics, resilience, ui
 from ..operators.parse import math_mismatch, parse
 from ..operators.segment import segment
 from ..operators.summarise import erp_rows, line_items
@@ -429,3 +429,80 @@ def ocr_page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ui_confidence_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("confidence")
     return _validated_rows(spark, sf_dir).select("doc_id", "pos", ui.confidence_band(c).alias("band"), ui.shown_percent(c).alias("shown_percent"))
+
+
+def _page_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as uploads of two tenants and none."""
+    tenant = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("t"), (F.col("page_id") % 3).cast("string")))
+    pages = _table(spark, sf_dir, "pages")
+    return pages.select(F.col("page_id").alias("document_id"), tenant.alias("tenant_id"), content_hash(F.col("html")).alias("file_hash"), F.col("url").alias("name"), F.lit("application/pdf").alias("mime"), F.octet_length("html").alias("size"), F.col("page_id").alias("arrival"))
+
+
+@query
+def upload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.upload_rows(_page_uploads(spark, sf_dir))
+
+
+@query
+def upload_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.upload_audit(_page_uploads(spark, sf_dir))
+
+
+@query
+def breaker_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call takes its event's value; those over 60 are too slow, whether or not they gave an error."""
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', CAST(ts AS TIMESTAMP_NTZ)) div 1000")
+    calls = _table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), at.alias("at_ms"), F.col("event_id").alias("call_id"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("took_ms"))
+    return resilience.circuit_breaker(calls, threshold=2, recovery_ms=36_000_000, timeout_ms=60).select("key", "call_id", "met", "allowed", "state", "failures")
+
+
+@query
+def cache_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("cache_key"), F.col("event_id").alias("written_at"), F.lit(86_400).alias("ttl_s"), F.col("event_type").alias("payload"))
+    cache = events.filter("payload = 'signup'").groupBy("cache_key").agg(F.max_by(F.struct(*events.columns), "written_at").alias("v")).select("v.*")
+    return resilience.cache_writes(cache, events.filter("payload = 'purchase'"))
+
+
+@query
+def missing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + F.col("l_linenumber") * 1000).alias("o_orderkey"))
+    return ingest.lookup_by_key(asked, _table(spark, sf_dir, "orders"), "o_orderkey")[1]
+
+
+@query
+def found_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + F.col("l_linenumber") * 1000).alias("o_orderkey"))
+    return ingest.lookup_by_key(asked, _table(spark, sf_dir, "orders"), "o_orderkey")[0].select("o_orderkey", "o_orderstatus")
+
+
+@query
+def children_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_partkey").alias("part"))
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
+    listed = F.transform("children", lambda c: F.concat_ws(":", c["n"].cast("string"), c["part"].cast("string")))
+    return ingest.with_children(orders, items, "o_orderkey", "n").select("o_orderkey", _joined(F.array_sort(listed), ",").alias("children"))
+
+
+@query
+def ui_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("QUEUED", "PROCESSING", "CLASSIFIED", "EXTRACTED", "STORED", "COMPLETED", "NEEDS_REVIEW", "FAILED", "")
+    k = F.col("o_orderkey") % 10
+    status = F.element_at(F.array(*map(F.lit, names)), F.when(k < 9, k + 1).cast("int"))
+    price = F.when(k != 5, F.floor("o_totalprice"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", ui.badge(status).alias("badge"), ui.progress_percent(status).alias("progress"), ui.money(price).alias("money"))
+
+
+@query
+def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 4
+    key = F.when(k == 0, "right").when(k == 1, "wrong").when(k == 2, "")
+    status = F.when(F.col("page_id") % 3 == 0, 404).when(F.col("page_id") % 3 == 1, 400)
+    message = F.when(F.col("page_id") % 5 == 0, "gone")
+    body = api.error_envelope(status, message, F.col("url"), F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    return _table(spark, sf_dir, "pages").select("page_id", api.key_rejection(key, F.lit("right")).alias("rejection"), F.get_json_object(body, "$.statusCode").alias("status"), F.get_json_object(body, "$.message").alias("message"), F.get_json_object(body, "$.path").alias("path"))
+
+
+@query
+def latency_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples that are kept by default."""
+    return metrics.last_samples(_samples(spark, sf_dir), ["ts", "event_id"]).select("metric", "event_id", "value")

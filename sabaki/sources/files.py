@@ -46,17 +46,28 @@ def base_name(path: Column) -> Column:
 def _named(files: DataFrame) -> DataFrame:
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     mime = F.when(F.lower(name).endswith(".pdf"), "application/pdf").otherwise("application/octet-stream")
-    return files.select("path", name.alias("name"), mime.alias("mime"), F.col("length").alias("size"), F.col("modificationTime").alias("arrival"), "content")
+    tenant = F.url_decode(F.nullif(F.regexp_extract("path", r"/tenant=([^/]+)/", 1), F.lit("")))
+    return files.select("path", name.alias("name"), mime.alias("mime"), F.col("length").alias("size"), F.col("modificationTime").alias("arrival"), tenant.alias("tenant_id"), "content")
 
 
 def read_uploads(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, name, mime, size, arrival and content of every file of a landing folder."""
+    """path, name, mime, size, arrival, tenant_id and content of every file of a landing folder.
+
+    Files of a tenant lie under a folder ``tenant=<id>`` (encoded as in URLs); others have none.
+    """
     return _named(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder))
 
 
-def stream_uploads(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
-    """As ``read_uploads``, for files as they arrive, at most ``max_files`` in a batch (the queue's capacity)."""
-    stream = spark.readStream.schema(UPLOAD_SCHEMA).format("binaryFile").option("maxFilesPerTrigger", max_files)
+def stream_uploads(spark: SparkSession, folder: str, max_files: int = 100, archive: str | None = None) -> DataFrame:
+    """As ``read_uploads``, for files as they arrive, at most ``max_files`` in a batch (the queue's capacity).
+
+    A file's own time says nothing about its arrival, so none is too old (Spark passes over files a week older than
+    the newest unless told).  The stream remembers every file of the folder; where that is too many, files that are
+    done move to ``archive``.
+    """
+    stream = spark.readStream.schema(UPLOAD_SCHEMA).format("binaryFile").option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").option("maxFileAge", "36500d")
+    if archive:
+        stream = stream.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return _named(stream.load(folder))
 
 
@@ -77,28 +88,31 @@ def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.lit(None).cast("bigint").alias("tenant_id"), "category", "japanese", "english", "priority", F.col("isLocked").alias("is_locked"), F.monotonically_increasing_id().alias("nth"))
 
 
-def extract_text(files: DataFrame, reader: Callable[[bytes], str], key: str = "path", strict: bool = False) -> DataFrame:
+def extract_text(files: DataFrame, reader: Callable[[bytes], str], key: str = "path", strict: bool = False, errors: bool = False) -> DataFrame:
     """``key`` and ``text`` of every file (content), by a reader for its format; this is where a PDF or OCR library is put.
 
-    An error gives an empty text, or fails the job if ``strict``.  A file is one call of ``reader``, and
-    batches hold a few files, as contents may be large.
+    An error gives an empty text, or fails the job if ``strict``; with ``errors`` a column ``error`` tells
+    what the reader raised.  A file is one call of ``reader``, and batches hold a few files, as contents
+    may be large.
     """
 
-    def read(content: bytes | None) -> str:
+    def read(content: bytes | None) -> tuple[str, str | None]:
         try:
-            return reader(bytes(content or b"")) or ""
-        except Exception:
+            return reader(bytes(content or b"")) or "", None
+        except Exception as e:
             if strict:
                 raise
-            return ""
+            return "", str(e) or type(e).__name__
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "text": [read(c) for c in b["content"]]})
+            got = [read(c) for c in b["content"]]
+            more = {"error": pd.Series([e for _, e in got], dtype=object, index=b.index)} if errors else {}
+            yield pd.DataFrame({key: b[key], "text": [t for t, _ in got], **more})
 
     ship(files.sparkSession)
     kind = files.schema[key].dataType.simpleString()
-    return files.select(key, "content").mapInPandas(run, f"`{key}` {kind}, text string")
+    return files.select(key, "content").mapInPandas(run, f"`{key}` {kind}, text string" + ", error string" * errors)
 
 
 def with_ocr_fallback(texts: DataFrame, recognised: DataFrame, key: str = "path") -> DataFrame:
