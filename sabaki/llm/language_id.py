@@ -8,6 +8,10 @@ codeword with the least loss wins.  Two codewords of nearly equal loss make the
 The classifiers are fitted on a bounded sample of labelled rows (``sample_docs``), drawn evenly
 over the languages by a hash of doc_id; their features are made on the executors.  Prediction reads
 whole texts in one pass without a shuffle; the model (``buckets`` x bits floats) is in the closure.
+
+A text far from every codeword is in none of the languages.  How far, a further quarter of the
+sample tells, which isn't fitted on: ``limit`` is the greatest loss to the nearest codeword there, ``NEAR`` at
+least.  A text in two languages is far as a whole, but its windows are near, one after the other.
 """
 
 from __future__ import annotations
@@ -29,14 +33,20 @@ from ..functions.shipping import ship
 from .common import renamed, table
 
 UNKNOWN = "und"
-BUCKETS = 1 << 12
+BUCKETS = 1 << 13
 #: Bound on the labelled rows that are fitted on, all languages together.
 SAMPLE_DOCS = 2400
 #: Most letters of a text in a learned language are letters that the sample has.
 FOREIGN = 0.5
 #: The two best scores of an ambiguous text differ by less.
 AMBIGUOUS = 0.2
-_LETTER = re.compile(r"[^\W\d_]")
+#: Least limit of the loss to the nearest codeword: bits that are right have a mean probability of two thirds.
+NEAR = 0.4
+#: Letters without which the loss tells nothing, and characters of a window of a text that is far as a whole.
+FEW_LETTERS = 64
+WINDOW = 200
+_ASCII_LETTER = re.compile("[A-Za-z]")
+_WORD = re.compile(r"[^\W\d_]")
 _MARKS = re.compile(r"[\x00-`{-\x7f]+")  # all of ASCII but a-z
 #: Odd multipliers that hash n-grams of two and three bytes.
 _MULTIPLIERS = {2: np.uint32(2654435761), 3: np.uint32(2246822519)}
@@ -80,6 +90,15 @@ def codewords(classes: int, seed: int = 7) -> np.ndarray:
     return best
 
 
+def has_letter(text: str) -> bool:
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, _WORD.findall(text)))
+
+
+def letters_of(text: str) -> list[str]:
+    """The letters of ``text`` in order; numerals such as ½ and Ⅷ aren't letters."""
+    return [c for c in _WORD.findall(text) if c.isalpha()]
+
+
 @functools.lru_cache(maxsize=8)
 def _other_letter(letters: str) -> re.Pattern:
     return re.compile(rf"[^\W\d_{letters}]")
@@ -94,25 +113,43 @@ class Model:
     trust: np.ndarray
     scale: float
     letters: str = ""
+    limit: float = NEAR
 
     def foreign(self, text: str) -> float:
         """Share of the letters of ``text`` that the training sample doesn't have."""
         low = text.lower()
-        others = len(_other_letter(self.letters).findall(low))
-        return others / len(_LETTER.findall(low)) if others else 0.0
+        others = sum(map(str.isalpha, _other_letter(self.letters).findall(low)))
+        return others / len(letters_of(low)) if others else 0.0
+
+    def far(self, text: str, loss: float) -> bool:
+        """Whether ``text``, of this loss to the nearest codeword, is in none of the languages.
+
+        Texts of few letters never are.  One that is far as a whole is so unless most of its letters are in windows that
+        are near.
+        """
+        if loss <= self.limit or len(letters_of(text)) < FEW_LETTERS:
+            return False
+        near = whole = 0
+        for at in range(0, len(text), WINDOW):
+            part = text[at : at + WINDOW]
+            n = len(letters_of(part))
+            whole += n
+            near += n * bool(n and self.losses(features(part)[None]).min() <= self.limit)
+        return 2 * near <= whole
 
     def losses(self, x: np.ndarray) -> np.ndarray:
         """Loss of every codeword (columns) for every row of features."""
         z = x @ self.weights + self.bias
         return np.logaddexp(0, -z) @ (self.trust * (self.code > 0)).T + np.logaddexp(0, z) @ (self.trust * (self.code < 0)).T
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        e = -self.scale * self.losses(x)
+    def scores(self, losses: np.ndarray) -> np.ndarray:
+        """Of codewords with these losses, from 0 to 1; those of a row sum to 1."""
+        e = -self.scale * losses
         e = np.exp(e - e.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: list[str], steps: int = 150) -> Model:
+def fit(x: np.ndarray, y: list[str], steps: int = 300) -> Model:
     """Logistic classifiers by accelerated gradient descent, every class with the same total weight."""
     languages = sorted(set(y))
     own = np.array([languages.index(v) for v in y], int)
@@ -135,7 +172,7 @@ def fit(x: np.ndarray, y: list[str], steps: int = 150) -> Model:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on about ``sample_docs`` rows that have a language and aren't held out.
+    """Fit on about ``sample_docs`` rows that have a language and aren't held out, and set the limit by a quarter as many others.
 
     Every language gives an equal share, or all it has; which rows, a hash of doc_id and text says. Repeated
     rows count once.
@@ -143,72 +180,86 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     ship(docs.sparkSession)
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    each = sample_docs / max(1, len(counts))
+    each = 1.25 * sample_docs / max(1, len(counts))
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, each / n))) for k, n in counts.items()), F.lit(0.0))
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30))
+    drawn = drawn.select("lang", "text", (F.pmod(F.xxhash64("doc_id", "text", F.lit("limit")), F.lit(5)) == 0).alias("limits"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             x = [features(t).astype(np.float16).tobytes() for t in texts]
-            letters = ["".join(sorted(set(_LETTER.findall(t.lower())))) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), pa.array(letters, pa.string())], ["lang", "x", "letters"])
-
-    got = sorted(drawn.mapInArrow(made, "lang string, x binary, letters string").distinct().collect(), key=lambda r: (r["lang"], bytes(r["x"])))
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float16).reshape(-1, BUCKETS).astype(np.float32)
-    model = fit(x, [r["lang"] for r in got])
+            letters = ["".join(sorted(set(letters_of(t.lower())))) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), pa.array(letters, pa.string()), b.column(2)], ["lang", "x", "letters", "limits"])
+
+    got = drawn.mapInArrow(made, "lang string, x binary, letters string, limits boolean").distinct().collect()
+    got.sort(key=lambda r: (r["lang"], r["limits"], bytes(r["x"])))
+    matrix = lambda rows: np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float16).reshape(-1, BUCKETS).astype(np.float32)
+    learned = {r["lang"] for r in got if not r["limits"]}
+    fitted = [r for r in got if not r["limits"] or r["lang"] not in learned]
+    model = fit(matrix(fitted), [r["lang"] for r in fitted])
+    others = [r for r in got if r["limits"] and r["lang"] in learned]
+    if others and len(model.languages) > 1:
+        model.limit = max(NEAR, float(model.losses(matrix(others)).min(axis=1).max()))
     model.letters = "".join(sorted(set().union(*(r["letters"] for r in got))))
     return model
 
 
+_PREDICTED = "lang_pred string, score double, ambiguous boolean, foreign double, loss double, far boolean"
+
+
 def _predict(model: Model, text_at: int, emit: list[int]):
-    """Columns ``emit`` of each batch, then lang_pred, score, ambiguous and foreign of column ``text_at``."""
+    """Columns ``emit`` of each batch, then those of ``_PREDICTED`` for column ``text_at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(text_at).to_pylist()
-            known = [i for i, t in enumerate(texts) if t and model.languages and _LETTER.search(t)]
-            lang, score, gap = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+            known = [i for i, t in enumerate(texts) if t and model.languages and has_letter(t)]
+            lang, score, gap, loss, far = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), bool)
             for at in range(0, len(known), 256):
                 rows = known[at : at + 256]
-                s = model.scores(np.stack([features(texts[i]) for i in rows]))
+                losses = model.losses(np.stack([features(texts[i]) for i in rows]))
+                s = model.scores(losses)
                 best = s.argmax(axis=1)
                 ranked = np.sort(s, axis=1)
-                score[rows] = ranked[:, -1]
+                score[rows], loss[rows] = ranked[:, -1], losses.min(axis=1)
                 gap[rows] = ranked[:, -1] - (ranked[:, -2] if s.shape[1] > 1 else 0)
+                far[rows] = [model.far(texts[i], loss[i]) for i in rows]
                 for i, k in zip(rows, best, strict=True):
                     lang[i] = model.languages[k]
             foreign = [model.foreign(t) if t else 0.0 for t in texts]
-            added = [pa.array(lang, pa.string()), pa.array(score), pa.array(gap < AMBIGUOUS), pa.array(foreign, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in emit), *added], [*(b.schema.names[i] for i in emit), "lang_pred", "score", "ambiguous", "foreign"])
+            added = [pa.array(lang, pa.string()), pa.array(score), pa.array(gap < AMBIGUOUS), pa.array(foreign, pa.float64()), pa.array(loss), pa.array(far)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in emit), *added], [*(b.schema.names[i] for i in emit), "lang_pred", "score", "ambiguous", "foreign", "loss", "far"])
 
     return run
 
 
 def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score (0 to 1), ambiguous and foreign (share of unknown letters) for every row of ``docs`` (doc_id, text).
+    """doc_id, held_out, lang_pred, score (0 to 1), ambiguous, foreign (share of unknown letters), loss (to the nearest codeword) and far (from all) for every row of ``docs`` (doc_id, text).
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text where nothing was
-    learned.  A null doc_id is never held out.  Rows, repeated or not, are treated one by one.
+    learned.  A null doc_id is never held out.  Rows, repeated or not, are treated one by one; very long texts are read
+    whole, in steps; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(model, 2, [0, 1]), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean, foreign double")
+    return rows.mapInArrow(_predict(model, 2, [0, 1]), f"doc_id long, held_out boolean, {_PREDICTED}")
 
 
 def keep_known_languages(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of ``docs`` in a learned language, all columns as they are.
 
-    Rejected are ``und`` and texts most of whose letters the training sample doesn't have (another
-    script).  Ambiguous texts stay, as a text in two of the languages is one.
+    Rejected are ``und``, texts far from every codeword (another language, or none), and texts most of whose
+    letters the training sample doesn't have (another script).  Texts in two of the languages stay, as do
+    texts of few letters in a known script.
     """
     ship(docs.sparkSession)
     plain, by = renamed(docs)
     names = plain.columns
     text_at = names.index(by["text"])
-    schema = T.StructType([*plain.schema.fields, *T._parse_datatype_string("lang_pred string, score double, ambiguous boolean, foreign double").fields])
+    schema = T.StructType([*plain.schema.fields, *T._parse_datatype_string(_PREDICTED).fields])
     found = plain.mapInArrow(_predict(model, text_at, list(range(len(names)))), schema)
-    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("foreign") <= FOREIGN))
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("foreign") <= FOREIGN) & ~F.col("far"))
     return kept.select(*names).toDF(*docs.columns)
 
 

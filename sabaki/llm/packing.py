@@ -52,11 +52,13 @@ def _byte_chars() -> dict[str, int]:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str):
-    """Function from a text to its ids, special strings being ordinary text.
+def encoder(path: str, special_ids: bool = False):
+    """Function from a text to its ids.
 
-    Most texts go through ``tiktoken`` over the vocabulary of the same file, which gives the same
-    ids several times as fast; texts with rarer characters go through ``tokenizers`` itself.
+    Special strings in a text are ordinary text, or, with ``special_ids``, get the id that the library
+    gives them by itself.  Most texts go through ``tiktoken`` over the vocabulary of the same file, which gives the same
+    ids several times as fast; texts with rarer characters, and with ``special_ids`` those that hold a special
+    string, go through ``tokenizers`` itself.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -64,7 +66,7 @@ def encoder(path: str):
     @functools.cache
     def slow() -> Tokenizer:
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        t.encode_special_tokens = not special_ids
         return t
 
     with open(path, encoding="utf-8") as f:
@@ -74,7 +76,8 @@ def encoder(path: str):
     ranks = {bytes(chars[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: slow().encode(text, add_special_tokens=False).ids if PLAIN.search(text) else fast.encode_ordinary(text)
+    odd = re.compile("|".join([PLAIN.pattern, *(map(re.escape, sorted(special)) if special_ids else ())]))
+    return lambda text: slow().encode(text, add_special_tokens=False).ids if odd.search(text) else fast.encode_ordinary(text)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -84,12 +87,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((first + capacity * i, capacity) for i in range(k - 1))]
 
 
-def _pieces(path: str, capacity: int, with_ids: bool):
+def _pieces(path: str, capacity: int, with_ids: bool, special_ids: bool):
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = encoder(path), TaskContext.get().partitionId()
+        encode, task = encoder(path, special_ids), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
 
         def packed(rows: list) -> pa.RecordBatch:
@@ -184,18 +187,18 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return steps
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False, special_ids: bool = False) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of at most ``capacity`` ids.
 
     A document's ids end with id 0, so an empty or null text is one piece of one id.  Only longer
     documents are cut.  Gives a row for each piece: doc_id, piece, start, length, ids_crc32,
-    sequence_id, offset, and with ``with_ids`` the ids.  Rows with a null or repeated doc_id are
+    sequence_id, offset, and with ``with_ids`` the ids.  ``special_ids`` is that of ``encoder``.  Rows with a null or repeated doc_id are
     packed like any other; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = materialise(docs.mapInArrow(_pieces(path or tokenizer_path(), capacity, with_ids), _ROWS + ", ids array<int>" * with_ids), "pieces")
+    pieces = materialise(docs.mapInArrow(_pieces(path or tokenizer_path(), capacity, with_ids, special_ids), _ROWS + ", ids array<int>" * with_ids), "pieces")
     counts = pieces.groupBy("length", "task").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     counts = materialise(counts.withColumn("before", F.coalesce(before, F.lit(0))), "piece-counts")
@@ -218,4 +221,4 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), special_ids=True)
