@@ -55,7 +55,8 @@ def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
 
     ``docs`` has doc_id and text; other columns pass through (those that have the names of the counts are
     replaced by them).  A null text stays null (no chunks); a text of one line stays; where all chunks go
-    the text is empty and the row stays.  A null doc_id comes after all others.  Rows of equal doc_id are
+    the text is empty and the row stays.  A very long text costs in proportion to its lines (its chunks' hashes are
+    sorted); an empty table gives no rows.  A null doc_id comes after all others.  Rows of equal doc_id are
     one document: those that share the smallest doc_id of a chunk all keep its first occurrence.
     """
     names = [c for c in docs.columns if c.lower() not in ("n_chunks", "n_removed") or not counts]
@@ -69,12 +70,17 @@ def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
     repeated = materialise(repeated.select(F.sha2("body", 256).alias("sha"), "owner"), "repeated-chunks")
 
     own = cut.withColumn("c", F.transform("c", lambda c: F.when(c["lines"] >= MIN_LINES, F.sha2(c["body"], 256))))
-    own = own.withColumn("c", F.transform("c", lambda s, i: F.struct(s.alias("sha"), i.alias("i"), (F.array_position(F.col("c"), s) == i + 1).alias("first"))))
+    # Sorted by hash and place, the first of a document's equal chunks follows another hash.
+    own = own.withColumn("c", F.array_sort(F.filter(F.transform("c", lambda s, i: F.struct(s.alias("sha"), i.alias("i"))), lambda x: x["sha"].isNotNull())))
+    own = own.withColumn("before", F.concat(F.array(F.lit("")), F.transform(F.slice("c", 1, F.greatest(F.size("c") - 1, F.lit(0))), lambda x: x["sha"])))
+    own = own.withColumn("c", F.zip_with(F.col("c"), F.slice("before", F.lit(1), F.size("c")), lambda x, b: F.struct(x["sha"].alias("sha"), x["i"].alias("i"), (x["sha"] != b).alias("first"))))
     found = own.select("k", "ord", F.inline_outer("c")).filter(F.col("sha").isNotNull()).join(repeated, "sha")
     lists = found.filter(~(F.col("first") & (F.col("ord") == F.col("owner")))).groupBy("k").agg(F.collect_set("i").alias("gone"))
 
     joined = with_chunks(rows.join(lists, "k", "left"), "t", "c")
-    kept = F.array_join(F.transform(F.filter("c", lambda _, i: ~F.array_contains(F.col("gone"), i)), lambda c: c["body"]), "\n")
+    # The set difference is by hashing, so a text of many chunks costs no more than their number.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("c") - 1), F.col("gone"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("c"), i)["body"]), "\n")
     text = F.when(F.col("gone").isNotNull(), kept).otherwise(F.col("t"))
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
     out = [text.alias(c) if c.lower() == "text" else F.col(f"others.c{i}").alias(c) for i, c in enumerate(names)]

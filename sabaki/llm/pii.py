@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import boosting
 from .common import renamed, table, text_or_empty
-from .spans import listed, redacted, tagged, with_spans
+from .spans import apart_from, clusters, cut, listed, overlap, pieces, redacted, tagged, with_spans
 
 #: Fixed patterns.  They match what the plain forms match: a possessive run can't be shortened to a
 #: match anyway, and a local part begins where its run does, or where the last match has ended.
@@ -33,7 +33,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators of candidates.
 NUMBER = r"(?<![0-9])[0-9(](?:[\x20().\x2f-]{0,2}[0-9]){6,18}+(?![0-9])"
-SPELT = r"(?i)[a-z0-9._%+-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]{1,63}(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[a-z0-9-]{1,63}){1,8}"
+SPELT = r"(?i)(?:\G|(?<![a-z0-9._%+-]))[a-z0-9._%+-]++\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]++(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[a-z0-9-]++)++"
 ACCOUNT = r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])"
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "number", "spelt", "account")
@@ -74,10 +74,10 @@ def _checked(kind: str, good: Callable[[Column], Column]) -> Column:
 
 
 def _features(span: Column, kind: str) -> Column:
-    """The span with its features; ``scanned`` is the text."""
+    """The span with its features; ``parts`` are the pieces of the text."""
     m, digits = span["match"], digits_of(span["match"])
-    before = F.substring(F.col("scanned"), F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
-    around = F.concat(F.substring(F.col("scanned"), span["start"], F.when(span["start"] > 0, 1).otherwise(0)), F.lit(" "), F.substring(F.col("scanned"), span["end"] + 1, F.lit(1)))
+    before = cut(F.col("parts"), F.greatest(span["start"] - CONTEXT, F.lit(0)), F.least(span["start"], F.lit(CONTEXT)))
+    around = F.concat(cut(F.col("parts"), F.greatest(span["start"] - 1, F.lit(0)), F.when(span["start"] > 0, 1).otherwise(0)), F.lit(" "), cut(F.col("parts"), span["end"], F.lit(1)))
     groups = F.filter(F.split(m, "[^0-9]+"), lambda g: F.length(g) > 0)
     number = lambda c: c.cast("double")
     columns = {
@@ -110,7 +110,9 @@ def _candidates(df: DataFrame) -> DataFrame:
         {"number": NUMBER, "spelt": SPELT, "account": ACCOUNT},
         {"number": F.col("scanned").rlike("[0-9]"), "spelt": F.col("scanned").rlike(r"(?i)[\[(]\x20?at\x20?[\])]"), "account": F.col("scanned").rlike("[A-Z]{2}[0-9]{2}")},
     )
-    return df.withColumn("candidates", F.concat(*(_with_features(k) for k in ("number", "spelt", "account")))).drop("number", "spelt", "account")
+    some = F.size("number") + F.size("spelt") + F.size("account") > 0
+    df = df.withColumn("parts", F.when(some, pieces(F.col("scanned"))).otherwise(F.array().cast("array<string>")))
+    return df.withColumn("candidates", F.concat(*(_with_features(k) for k in ("number", "spelt", "account")))).drop("number", "spelt", "account", "parts")
 
 
 def training_sentences() -> list[tuple[str, int]]:
@@ -179,7 +181,9 @@ def find_personal_data(docs: DataFrame, text: str = "text", trees: boosting.Boos
     """``docs`` with arrays of spans (start, end, match) ``email``, ``ip``, ``card``, ``phone``, and ``judged`` (start, end, kind, score).
 
     A null text has none.  Base matches that fail their check are dropped and what they cover is not
-    tried again.  Other columns pass through (those that clash with the added ones are replaced).
+    tried again.  Repeated rows are scanned one by one, very long texts whole; an empty table gives none.  Work follows
+    the text and its matches, but for candidates of several generators that overlap in one chain.  Other columns pass
+    through (those that clash with the added ones are replaced).
     """
     trees = trees or model(docs.sparkSession)
     added = {*BASE, "judged"}
@@ -190,17 +194,21 @@ def find_personal_data(docs: DataFrame, text: str = "text", trees: boosting.Boos
         df = df.withColumn(kind, _checked(kind, good))
     df = _candidates(df)
     df = df.withColumn("base_s", F.transform(F.concat(*BASE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    apart = lambda c, s: (s["end"] <= c["start"]) | (c["end"] <= s["start"])
-    df = df.withColumn("candidates", F.filter("candidates", lambda c: F.forall("base_s", lambda s: apart(c, s))))
+    # Those of one generator don't overlap one another, as a sweep needs.
+    own = lambda kind: F.filter("candidates", lambda c: c["kind"] == kind)
+    free = F.concat(*(apart_from(own(k), F.col("base_s")) for k in KINDS[len(BASE) :]))
+    df = df.withColumn("candidates", F.when((F.size("candidates") > 0) & (F.size("base_s") > 0), free).otherwise(F.col("candidates")))
     score = F.expr(f"transform(candidates, x -> named_struct('neg', -({trees.sql(list(FEATURES), 'x')}), 'start', x.start, 'end', x.end, 'kind', x.kind))")
     df = df.withColumn("scored", F.when(F.size("candidates") > 0, score).otherwise(F.array().cast("array<struct<neg:double,start:int,end:int,kind:string>>")))
-    df = df.withColumn("scored", F.array_sort(F.filter("scored", lambda c: -c["neg"] >= F.lit(float(trees.threshold)))))
-    # A candidate is taken if none before it, in order of score, overlaps it.
-    judged = F.filter(
-        "scored",
-        lambda c, i: F.forall(F.slice("scored", F.lit(1), i), lambda s: apart(c, s)),
-    )
-    judged = F.transform(judged, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), (-c["neg"]).alias("score")))
+    df = df.withColumn("scored", F.filter("scored", lambda c: -c["neg"] >= F.lit(float(trees.threshold))))
+    # A candidate is taken if none before it, in order of score, overlaps it; only those of a cluster can.
+    spans = F.transform("scored", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["neg"].alias("neg"), c["kind"].alias("kind")))
+    rank = lambda c: F.struct(c["neg"], c["start"], c["end"], c["kind"])
+    best = lambda group: F.filter(group, lambda c: F.forall(group, lambda s: ~overlap(s, c) | (rank(s) >= rank(c))))
+    taken = F.flatten(F.transform(clusters(spans), best))
+    ordered = F.array_sort(F.transform(taken, lambda c: F.struct(c["neg"].alias("neg"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    judged = F.transform(ordered, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), (-c["neg"]).alias("score")))
+    judged = F.when(F.size("scored") > 0, judged).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string,score:double>>"))
     df = df.withColumn("judged", judged)
     return df.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(source)), *BASE, "judged")
 
@@ -217,7 +225,7 @@ def all_spans(base_only: bool = False) -> Column:
 
 
 def redact_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with personal data in the text replaced by its kind in brackets; a null text stays null."""
+    """``docs`` with personal data in the text replaced by its kind in brackets; a null text stays null, other cases are as in ``find_personal_data``."""
     rows, names = renamed(docs)
     own = names[text.lower()]
     found = find_personal_data(rows, own).withColumn("spans", all_spans())

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import renamed, table, text_or_empty
-from .spans import SPANS, let, listed, redacted, tagged, with_spans
+from .spans import SPANS, apart_from, let, listed, redacted, tagged, with_spans
 
 #: Fixed patterns of the base kinds.  "Either case" is ASCII only.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -132,7 +132,8 @@ def find_secrets(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataF
     """``docs`` with ``assign``, ``access``, ``hex`` and ``random``: arrays of spans in the text.
 
     A null text has none.  Matches of ``assign`` whose value is shorter than six characters are
-    dropped.  A ``random`` span lies in no base span.  Other columns pass through, whatever their names
+    dropped.  A ``random`` span lies in no base span.  Repeated rows are scanned one by one, very long texts whole, with
+    work in proportion to the text and its matches; an empty table gives none.  Other columns pass through, whatever their names
     (those that clash with the added ones in lower case are replaced).
     """
     source = [c for c in docs.columns if c.lower() not in KINDS]
@@ -141,7 +142,7 @@ def find_secrets(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataF
     df = df.withColumn("assign", F.filter("assign", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 1)) >= 6))
     base = F.concat("assign", "access", "hex")
     df = df.withColumn("base_s", F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    df = df.withColumn("token", F.when(F.size("token") > 0, F.filter("token", lambda t: ~F.exists("base_s", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))).otherwise(F.array().cast(SPANS)))
+    df = df.withColumn("token", F.when(F.size("token") > 0, apart_from(F.col("token"), F.col("base_s"))).otherwise(F.array().cast(SPANS)))
     for name, column in random_tokens(F.col("token"), fdr):
         df = df.withColumn(name, column)
     return df.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(source)), "assign", "access", "hex", F.col("random_s").alias("random"))
@@ -155,7 +156,7 @@ def all_spans(base_only: bool = False) -> Column:
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every secret in the text replaced by its kind in brackets; columns and rows stay.
 
-    A null text stays null.
+    A null text stays null.  Repeated rows, very long texts and empty tables are as in ``find_secrets``.
     """
     rows, names = renamed(docs)
     own = names[text.lower()]

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import itertools
 import re
 import zlib
@@ -37,6 +38,8 @@ MODEL = "piece_bpe_32k.model"
 CACHE_WORDS = 400_000
 #: Documents whose new words are encoded together.
 SLICE = 512
+#: Words of more characters are merged one by one with a heap: a round over a matrix would cost their square.
+LONG_WORD = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -198,6 +201,35 @@ class Codec:
         edges = edges[:, : count.max(initial=0) + 1]
         return edges, span(edges[:, :-1], edges[:, 1:], rows)
 
+    def merge_long(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """As ``merges`` for one word, by a heap of adjacent pairs; old pairs are known by their ends."""
+        n, known, scores, longest = len(word), self.known, self.scores, self.longest
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that begins at i
+        heap: list[tuple[float, int, int, int]] = []
+
+        def push(at: int) -> None:
+            mid = end[at]
+            if mid < n and end[mid] - at <= longest and (i := known.get(word[at : end[mid]])) is not None:
+                heapq.heappush(heap, (-scores[i], at, mid, end[mid]))
+
+        for at in range(n):
+            push(at)
+        while heap:
+            _, at, mid, stop = heapq.heappop(heap)
+            if end[at] != mid or end[mid] != stop:
+                continue
+            end[at], end[mid] = stop, -1
+            if stop < n:
+                before[stop] = at
+            push(at)
+            if before[at] >= 0:
+                push(before[at])
+        edges = [0]
+        while edges[-1] < n:
+            edges.append(end[edges[-1]])
+        ids = [known.get(word[a:b], -1) for a, b in itertools.pairwise(edges)]
+        return np.array([edges]), np.array([ids]).reshape(1, -1)
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word as 32-bit integers; words of equal length advance together."""
         by_length: dict[int, list[int]] = defaultdict(list)
@@ -211,7 +243,13 @@ class Codec:
                 own = at[lo : lo + step]
                 together = "".join([words[i] for i in own])
                 chars = np.frombuffer(together.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), length)
-                edges, ids = segment(chars)
+                long = length > LONG_WORD and self.kind == "bpe"
+                parts = [self.merge_long(words[i]) for i in own] if long else [segment(chars)]
+                if len(parts) > 1:  # words of a length differ in their number of pieces
+                    for i, (edges, ids) in zip(own, parts, strict=True):
+                        out[i] = self._with_unknown(words[i], edges[0], ids[0])
+                    continue
+                edges, ids = parts[0]
                 real = edges[:, 1:] > edges[:, :-1]
                 odd = (real & (ids < 0)).any(axis=1)
                 counts = real.sum(axis=1)
@@ -309,14 +347,18 @@ def _decode(path: str):
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and ids (array of int) of every row of ``docs`` (doc_id, text); a null text has no ids."""
+    """doc_id and ids (array of int) of every row of ``docs`` (doc_id, text); a null text has no ids.
+
+    Repeated rows are encoded one by one; very long texts and words whole, a word in the order of its length times the logarithm;
+    an empty table gives no rows.
+    """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_encode(path or model_path()), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and text of every row of ``encoded`` (doc_id, ids); null ids give an empty text."""
+    """doc_id and text of every row of ``encoded`` (doc_id, ids); null ids give an empty text, repeated rows and empty tables as many rows."""
     ship(encoded.sparkSession)
     rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
     return rows.mapInArrow(_decode(path or model_path()), "doc_id long, text string")
