@@ -8,15 +8,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used where the session names no shared folder, as in tests on one machine.
+#: Used where one machine's session names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` if it is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
+
+    On a cluster one of them has to be set, as a folder of each machine's own would lose rows.
+    """
+    context = spark.sparkContext
+    set_ = context._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (set_.get() if set_.isDefined() else None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

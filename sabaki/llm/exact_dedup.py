@@ -3,13 +3,14 @@
 Two scans of the texts.  The first hashes every text (SHA-256 of the bytes after lower-casing A-Z)
 and keeps a narrow table of documents.  From the distinct hashes the directory is built: a bucket
 with more than ``bucket_rows`` keys is split by the next bit of the key, and the directory doubles
-when the bucket was as deep as the directory.  The second scan sends one entry for each distinct text
-of a task, with its count and largest doc_id, to the task that owns the key range of its bucket.
-The owner walks its keys in order, chains entries whose keys collide, compares bytes within a
-chain, and writes its pages of the index to the shared folder.  Documents then look up their class.
-
-A text held by a third of all rows reaches its owner as one entry for each task, not as rows; the
-lookup joins narrow rows only, and AQE splits a skewed side of it.
+when the bucket was as deep as the directory.  Owners get runs of buckets, which are key ranges, of about
+equal bytes.  The second scan sends one entry for each distinct text of a task, with its count and
+largest doc_id, to the owner of its bucket.  The owner walks its keys in order, chains entries whose keys
+collide, compares bytes within a chain, and writes its pages of the index to the shared folder, where the
+directory is too.  Documents then look their bucket up in the directory and their class in its pages.
+
+Depth and owners follow the input, without a bound.  A text held by a third of all rows reaches its owner
+as one entry for each task, not as rows; the lookup joins narrow rows only, and AQE splits a skewed side of it.
 """
 
 from __future__ import annotations
@@ -17,20 +18,24 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from .common import materialise, table
 
-#: Deepest directory: 2**20 entries, 8 MB on the driver.
-MAX_DEPTH = 20
+#: Bits of a key that a prefix can have, and those that it has at least.
+PREFIX_BITS = 32
+LEAST_BITS = 16
+#: Bytes of distinct texts that an owner takes, about.
+OWNER_BYTES = 128 << 20
 #: A task keeps this many bytes of texts to collapse repeats before they are sent.
 WINDOW_BYTES = 48 << 20
 BATCH_BYTES = 4 << 20
 
-_ENTRY = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("sha", pa.binary()), ("text", pa.binary()), ("n", pa.int64()), ("max_id", pa.int64())])
+_ENTRY = pa.schema([("owner", pa.int32()), ("bucket", pa.int32()), ("key", pa.int64()), ("sha", pa.binary()), ("text", pa.binary()), ("n", pa.int64()), ("max_id", pa.int64())])
 _PAGE = "bucket int, key long, chain int, sha binary, length long, keep_id long, group_size long"
 
 
@@ -38,17 +43,17 @@ def _key(sha: bytes, key_bits: int) -> int:
     return int.from_bytes(sha[:8], "big") >> (64 - key_bits)
 
 
-def build_directory(counts: dict[int, int], bits: int, bucket_rows: int) -> list[int]:
+def build_directory(counts: dict[int, int], bits: int, bucket_rows: int) -> np.ndarray:
     """Bucket of each ``bits``-bit key prefix.
 
     ``counts`` holds the number of keys by prefix.  Starting from one bucket of depth 0, an
     overfull bucket is split by its next bit; the directory doubles when the bucket's depth equals
     its own.  A bucket of one prefix can't be split any more and overflows into its chain.
     """
-    prefix_sums = [0]
-    for p in range(1 << bits):
-        prefix_sums.append(prefix_sums[-1] + counts.get(p, 0))
-    depth, directory, local = 0, [0], [0]
+    held = np.zeros(1 << bits, np.int64)
+    held[np.fromiter(counts, np.int64, len(counts))] = list(counts.values())
+    prefix_sums = np.r_[0, np.cumsum(held)]
+    depth, directory, local = 0, np.zeros(1, np.int64), [0]
     todo, spans = [0], {0: (0, 1 << bits)}
     while todo:
         b = todo.pop()
@@ -57,25 +62,41 @@ def build_directory(counts: dict[int, int], bits: int, bucket_rows: int) -> list
             continue
         if local[b] == depth:
             depth += 1
-            directory = [x for x in directory for _ in range(2)]
+            directory = np.repeat(directory, 2)
         new, mid = len(local), (lo + hi) // 2
         local[b] += 1
         local.append(local[b])
         spans[b], spans[new] = (lo, mid), (mid, hi)
         shift = bits - depth
-        for i in range(mid >> shift, hi >> shift):
-            directory[i] = new
+        directory[mid >> shift : hi >> shift] = new
         todo += [b, new]
-    return [x for x in directory for _ in range(1 << (bits - depth))]
+    return np.repeat(directory, 1 << (bits - depth))
+
+
+def owners_of(sizes: np.ndarray, owners: int) -> np.ndarray:
+    """Owner of each bucket: runs of buckets in order, of about equal ``sizes`` together."""
+    middle = np.cumsum(sizes, dtype=np.float64) - sizes / 2
+    return np.minimum(middle * owners / max(1.0, float(sizes.sum())), owners - 1).astype(np.int64)
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sha = [hashlib.sha256((t or b"").lower()).digest() for t in b.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary())], ["doc_id", "sha"])
+        texts = b.column(1).cast(pa.binary()).to_pylist()
+        sha = [hashlib.sha256((t or b"").lower()).digest() for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary()), pa.array([len(t or b"") for t in texts], pa.int64())], ["doc_id", "sha", "size"])
+
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, sha, size and row (a number that no other row has) of each document, as a table of the shared folder."""
+    hashed = docs.mapInArrow(_hashes, "doc_id long, sha binary, size long")
+    return materialise(hashed.withColumn("row", F.monotonically_increasing_id()), "exact-hash")
 
-def _entries(directory: list[int], bits: int, key_bits: int):
+
+def _prefix(sha: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.conv(F.substring(F.hex(sha), 1, PREFIX_BITS // 4), 16, 10).cast("long"), PREFIX_BITS - bits)
+
+
+def _entries(directory: np.ndarray, owner: np.ndarray, bits: int, key_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list] = {}
         held = 0
@@ -92,8 +113,10 @@ def _entries(directory: list[int], bits: int, key_bits: int):
 
         def packed(rows: list) -> pa.RecordBatch:
             keys = [_key(s, key_bits) for s, _ in rows]
+            buckets = [int(directory[k >> (key_bits - bits)]) for k in keys]
             cols = [
-                [directory[k >> (key_bits - bits)] for k in keys],
+                [int(owner[b]) for b in buckets],
+                buckets,
                 [k - (1 << 64) if k >= 1 << 63 else k for k in keys],
                 [s for s, _ in rows],
                 *([x[i] for _, x in rows] for i in range(3)),
@@ -159,23 +182,35 @@ def _owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield page()
 
 
-def build_index(docs: DataFrame, bucket_rows: int = 8192, key_bits: int = 64, prefix_bits: int = 16, hashed: DataFrame | None = None) -> DataFrame:
-    """The pages of the index: one row for each distinct text, as columns ``_PAGE`` says.
+def build_index(docs: DataFrame, bucket_rows: int = 8192, key_bits: int = 64, owner_bytes: int = OWNER_BYTES, hashed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The directory (prefix, bucket, bits) and the pages of the index: one row for each distinct text, as columns ``_PAGE`` says.
 
     ``docs`` has doc_id and text.  ``key_bits`` (64) may be lowered to force collisions in tests.
     """
-    ship(docs.sparkSession)
-    bits = min(prefix_bits, key_bits, MAX_DEPTH)
+    spark = docs.sparkSession
+    ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = materialise(docs.mapInArrow(_hashes, "doc_id long, sha binary"), "exact-hash") if hashed is None else hashed
-    prefix = F.shiftright(F.conv(F.substring(F.hex("sha"), 1, MAX_DEPTH // 4), 16, 10).cast("long"), MAX_DEPTH - bits)
-    counts = hashed.select("sha").distinct().groupBy(prefix.alias("p")).count()
-    directory = build_directory({r["p"]: r["count"] for r in counts.collect()}, bits, bucket_rows)
-    n = max(directory) + 1
-    entries = docs.mapInArrow(_entries(directory, bits, key_bits), "bucket int, key long, sha binary, text binary, n long, max_id long")
-    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n, 4096))
-    owned = entries.repartition(width, "bucket").sortWithinPartitions("bucket", "key")
-    return materialise(owned.mapInArrow(_owner, _PAGE), "exact-index")
+    hashed = _hashed(docs) if hashed is None else hashed
+    distinct = materialise(hashed.groupBy("sha").agg(F.first("size").alias("size")), "exact-keys")
+    n, whole = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // owner_bytes))
+    # Sixteen prefixes for each full bucket and each owner, so that both can be cut evenly.
+    wanted = 16 * max(owners, -(-n // bucket_rows))
+    bits = min(max(LEAST_BITS, (wanted - 1).bit_length()), key_bits, PREFIX_BITS)
+    counts = distinct.groupBy(_prefix(F.col("sha"), bits).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()
+    directory = build_directory({r["p"]: r["n"] for r in counts}, bits, bucket_rows)
+    # Buckets are numbered as they were split off; from here on in the order of their keys.
+    directory = np.cumsum(np.r_[0, directory[1:] != directory[:-1]])
+    at = np.array([r["p"] for r in counts], np.int64)
+    sizes = np.bincount(directory[at], np.array([r["size"] + 64 * r["n"] for r in counts], float), directory[-1] + 1) if len(counts) else np.zeros(directory[-1] + 1)
+    owner = owners_of(sizes, owners)
+    first = np.flatnonzero(np.r_[True, directory[1:] != directory[:-1]])
+    runs = [(int(lo), int(hi), int(directory[lo])) for lo, hi in zip(first, [*first[1:], len(directory)], strict=True)]
+    listed = spark.createDataFrame(runs, "lo long, hi long, bucket int").select(F.explode(F.sequence("lo", F.col("hi") - 1)).alias("prefix"), "bucket", F.lit(bits).alias("bits"))
+    listed = materialise(listed, "exact-directory")
+    entries = docs.mapInArrow(_entries(directory, owner, bits, key_bits), "owner int, bucket int, key long, sha binary, text binary, n long, max_id long")
+    owned = entries.repartitionById(owners, "owner").sortWithinPartitions("bucket", "key").drop("owner")
+    return listed, materialise(owned.mapInArrow(_owner, _PAGE), "exact-index")
 
 
 def exact_duplicates(docs: DataFrame, bucket_rows: int = 8192, key_bits: int = 64) -> DataFrame:
@@ -183,18 +218,22 @@ def exact_duplicates(docs: DataFrame, bucket_rows: int = 8192, key_bits: int = 6
 
     Texts are equal when their bytes are, after A-Z are lower-cased; a null text counts as empty.
     The row with the largest doc_id of a group stays; a null doc_id is smaller than any other, and
-    of rows that tie on doc_id one stays.  Other columns of ``docs`` are not used.  An empty table
-    gives an empty result.
+    of rows that tie on doc_id one stays.  Very long texts are one entry each.  Other columns of ``docs``, whatever
+    their names, are not used.  An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = materialise(docs.mapInArrow(_hashes, "doc_id long, sha binary"), "exact-hash")
-    pages = build_index(docs, bucket_rows, key_bits, hashed=hashed)
-    found = hashed.join(pages.select("sha", "keep_id", "group_size"), "sha")
-    tied = F.row_number().over(Window.partitionBy("sha", "doc_id").orderBy(F.lit(1)))
-    keeper = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("kept", tied == 1)
-    others = found.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False))
-    return keeper.unionByName(others).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+    hashed = _hashed(docs)
+    directory, pages = build_index(docs, bucket_rows, key_bits, hashed=hashed)
+    bits = directory.select("bits").first()["bits"]
+    asked = hashed.withColumn("prefix", _prefix(F.col("sha"), bits)).join(directory.select("prefix", "bucket"), "prefix")
+    found = asked.join(pages.select("bucket", "sha", "keep_id", "group_size"), ["bucket", "sha"])
+    # Of rows that share a text and a doc_id the first stays; few do, so these are found by counting.
+    tied = hashed.groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).filter("n > 1")
+    tied = tied.select(F.col("sha").alias("own_sha"), F.col("doc_id").alias("own_id"), "first")
+    found = found.join(tied, (F.col("sha") == F.col("own_sha")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.coalesce(F.col("first") == F.col("row"), F.lit(True))
+    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

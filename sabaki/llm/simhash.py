@@ -299,13 +299,16 @@ def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SH
 
 def keep_least(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The row of each component of ``classes`` (doc_id, th, root, component_id) with the smallest doc_id."""
-    chosen = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = chosen.select(F.col("doc_id").alias("id"), "th", "root").distinct()
+    chosen = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("th").alias("th"), F.first("component_id").alias("id"))
+    # Null-safe keys as plain columns: the join and the window then share one distribution of whole rows.
+    key = lambda c: [F.col(c).isNull().alias("k_null"), F.coalesce(c, F.lit(0)).alias("k_id")]
+    chosen = chosen.select(*key("id"), F.col("th").alias("k_th"))
     names = [f"in_{i}" for i in range(len(docs.columns))]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("own_th"), *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)))
-    joined = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["id"]) & (rows["own_th"] == chosen["th"]))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "root").orderBy("th"))
-    return joined.withColumn("nth", nth).filter("nth = 1").select(*names).toDF(*docs.columns)
+    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), text_hash().alias("k_th"), *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    rows = rows.select(*key("own_id"), "k_th", *names)
+    keys = ["k_null", "k_id", "k_th"]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
+    return rows.join(chosen.distinct(), keys, "left_semi").withColumn("nth", nth).filter("nth = 1").select(*names).toDF(*docs.columns)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,7 +88,7 @@ def clusters(spans: Column) -> Column:
 
     def parted(s: Column) -> Column:
         reach = running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
-        before = F.concat(F.array(F.lit(0)), F.slice(reach, 1, F.size(reach) - 1))
+        before = F.concat(F.array(F.lit(0)), F.slice(reach, 1, F.greatest(F.size(reach) - 1, F.lit(0))))
         heads = F.filter(F.zip_with(F.transform(s, lambda x, i: F.struct(i.alias("i"), x["start"].alias("start"))), before, lambda x, r: F.when((x["i"] == 0) | (x["start"] >= r), x["i"])), lambda i: i.isNotNull())
         return let(heads, lambda h: F.transform(h, lambda at, j: F.slice(s, at + 1, F.coalesce(F.get(h, j + 1), F.size(s)) - at)))
 
@@ -147,7 +147,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
     def built(d: Column) -> Column:
         reach = running(F.transform(d["spans"], lambda s: -s["neg"]), lambda a, b: F.greatest(a, b))
-        before = F.concat(F.array(F.lit(0)), F.slice(reach, 1, F.size(reach) - 1))
+        before = F.concat(F.array(F.lit(0)), F.slice(reach, 1, F.greatest(F.size(reach) - 1, F.lit(0))))
         parts = F.zip_with(d["spans"], before, lambda s, at: F.when(s["start"] >= at, F.concat(cut(d["parts"], at, s["start"] - at), F.lit("["), s["kind"], F.lit("]"))))
         end = F.element_at(reach, -1)
         return F.concat(F.array_join(parts, ""), cut(d["parts"], end, F.greatest(d["n"] - end, F.lit(0))))

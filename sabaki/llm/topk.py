@@ -1,14 +1,14 @@
 """Exact top-k inner-product search with KD-trees.
 
-Vectors are turned into integers, dealt to shards, and every shard is searched by blocks of queries.
-A shard's KD-tree splits at the median of its widest dimension and keeps a tight box for each node;
-the largest inner product that a box allows bounds all below it.  A query visits leaves best first
-and stops where the bound can no longer beat its k-th best score.  That score starts from a small
-seed set that every query has met before (any k candidates give a right lower bound), and so is
-carried to all shards.  Equal vectors of a shard are one point of the tree with its k+1 least ids.
-
-Work is (blocks of queries) x (shards); one task holds one shard and one block.  The query set is a
-stated fraction of the rows, so blocks are dealt out, never all pairs.
+Vectors are turned into integers, dealt to shards and written to the shared folder once.  A shard's
+KD-tree splits at the median of its widest dimension and keeps a tight box for each node; the largest
+inner product that a box allows bounds all below it.  A query visits leaves best first and stops where
+the bound can no longer beat its k-th best score, which it carries from leaf to leaf and from shard to
+shard of a task.  Equal vectors of a shard are one point of the tree with its k+1 least ids.
+
+Queries go in blocks of bounded bytes.  A block is sent to all tasks, each of which holds one shard at a
+time, and gives k candidates a query and task; so vectors are shuffled once, whatever the number of queries,
+and no task or driver holds more than a block and a shard.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +28,10 @@ from .common import materialise, table
 
 K = 5
 SHARD_ROWS = 8192
-BLOCK_ROWS = 2048
+#: Components of the queries of a block, and queries, at most (32 MB).
+BLOCK_VALUES = 1 << 22
+BLOCK_ROWS = 1 << 17
 LEAF = 64
-#: Rows that give every query its first bound.
-SEED_ROWS = 512
 QUANTUM = 256
 #: Components that aren't longs any more take no part.
 LIMIT = float(1 << 63)
@@ -89,10 +90,10 @@ class KDTree:
 class Best:
     """The k best (score, id) of every query of a block; ties go to the smaller id."""
 
-    def __init__(self, floor: np.ndarray, k: int):
-        self.k, self.kth = k, floor.astype(np.float64)
-        self.scores = np.full((len(floor), k), -np.inf)
-        self.ids = np.full((len(floor), k), np.iinfo(np.int64).max)
+    def __init__(self, n: int, k: int):
+        self.k, self.kth = k, np.full(n, -np.inf)
+        self.scores = np.full((n, k), -np.inf)
+        self.ids = np.full((n, k), np.iinfo(np.int64).max)
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
         """Candidates ``ids`` with their ``scores`` for the queries ``rows``, whose own ids are ``own``."""
@@ -113,11 +114,16 @@ class Best:
 ROUNDS = 2
 
 
-def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best candidates of each query with a score of ``floor`` (of the query) or more."""
+#: Queries that go through a tree together.
+STEP = 2048
+
+
+def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, best: Best) -> bool:
+    """Offer the candidates ``x`` to ``best`` of the queries ``q``; False where their products are too large for that."""
     big = float(np.abs(x.astype(float)).max(initial=1)) * float(np.abs(q.astype(float)).max(initial=1)) * max(1, x.shape[1])
     if big >= 1 << 52 or not x.shape[1]:
-        return _plain(x, ids, q, q_ids, k)
+        return False
+    k = best.k
     kind = np.float32 if big < 1 << 23 else np.float64
     order = np.argsort(ids, kind="stable")
     points, inverse = np.unique(x[order], axis=0, return_inverse=True)
@@ -131,27 +137,27 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, flo
     copies = [sorted_ids[start[p] : min(start[p + 1], start[p] + k + 1)] for p in range(len(points))]
     sizes = np.array([len(c) for c in copies], int)
     leaf_ids = [np.concatenate([copies[p] for p in leaf]) for leaf in tree.leaves]
-    best = Best(floor, k)
 
     def visit(leaf: int, rows: np.ndarray) -> None:
         scores = np.repeat(q[rows] @ points[tree.leaves[leaf]].T, sizes[tree.leaves[leaf]], axis=1)
         best.offer(rows, scores.astype(np.float64), leaf_ids[leaf], q_ids[rows])
 
-    leaves, bounds = tree.reach(q, best.kth)
-    done = np.zeros(bounds.shape, bool)
-    first = np.argsort(-bounds, axis=1, kind="stable")[:, :ROUNDS]
-    for r in range(first.shape[1]):
-        for at in np.unique(first[:, r]):
-            rows = np.flatnonzero((first[:, r] == at) & (bounds[:, at] >= best.kth))
+    for lo in range(0, len(q), STEP):
+        block = np.arange(lo, min(len(q), lo + STEP))
+        leaves, bounds = tree.reach(q[block], best.kth[block])
+        done = np.zeros(bounds.shape, bool)
+        first = np.argsort(-bounds, axis=1, kind="stable")[:, :ROUNDS]
+        for r in range(first.shape[1]):
+            for at in np.unique(first[:, r]):
+                rows = np.flatnonzero((first[:, r] == at) & (bounds[:, at] >= best.kth[block]))
+                if len(rows):
+                    done[rows, at] = True
+                    visit(leaves[at], block[rows])
+        for at in np.argsort(-bounds.max(axis=0, initial=-np.inf), kind="stable"):
+            rows = np.flatnonzero((bounds[:, at] >= best.kth[block]) & ~done[:, at])
             if len(rows):
-                done[rows, at] = True
-                visit(leaves[at], rows)
-    for at in np.argsort(-bounds.max(axis=0, initial=-np.inf), kind="stable"):
-        rows = np.flatnonzero((bounds[:, at] >= best.kth) & ~done[:, at])
-        if len(rows):
-            visit(leaves[at], rows)
-    row, place = np.nonzero(best.scores > -np.inf)
-    return pd.DataFrame({"query_id": q_ids[row], "vec_id": best.ids[row, place], "score": best.scores[row, place].astype(np.int64)})
+                visit(leaves[at], block[rows])
+    return True
 
 
 def _plain(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> pd.DataFrame:
@@ -163,61 +169,107 @@ def _plain(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
-def _matrix(column: pd.Series, dim: int) -> np.ndarray:
-    return np.array(column.tolist(), np.int64).reshape(len(column), dim)
+def _searched(asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+    """Batches of one task, whole shards after one another, to its k best candidates of each query of ``asked`` (by dimension)."""
+
+    def frame(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {d: Best(len(ids), k) for d, (ids, _) in asked.items()}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        at: tuple[int, int] | None = None
+        emit = lambda p: pa.RecordBatch.from_pandas(p, schema=_FOUND, preserve_index=False)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            dim = at[0]
+            if dim in asked and held:
+                ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
+                q_ids, q = asked[dim]
+                if not search(x, ids, q, q_ids, best[dim]):
+                    yield emit(_plain(x, ids, q, q_ids, k))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            dims, shards, ids = (b.column(i).to_numpy() for i in range(3))
+            ends = np.flatnonzero(np.r_[(dims[1:] != dims[:-1]) | (shards[1:] != shards[:-1]), True]) + 1
+            for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+                own = (int(dims[lo]), int(shards[lo]))
+                if own != at:
+                    if at is not None:
+                        yield from close()
+                    at, held = own, []
+                x = b.column(3).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, own[0])
+                held.append((ids[lo:hi], x))
+        if at is not None:
+            yield from close()
+        for d, got in best.items():
+            row, place = np.nonzero(got.scores > -np.inf)
+            yield emit(frame([pd.DataFrame({"query_id": asked[d][0][row], "vec_id": got.ids[row, place], "score": got.scores[row, place].astype(np.int64)})]))
+
+    return run
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row where ``is_query`` holds, its ``k`` best others.
 
-    ``vectors`` has vec_id and embedding.  Scores are integer inner products of floor(256 * x); ties go
-    to the smaller vec_id.  Rows with a null vec_id, a null vector, or a null or non-finite
-    component (or one of 2**55 or more, whose integer isn't a long) take no part.  Only vectors of equal length meet.  A query's own
-    vec_id is no candidate; of rows that repeat a vec_id and vector, one takes part.
+    ``vectors`` has vec_id and embedding; other columns, whatever their names, are not used.  Scores are
+    integer inner products of floor(256 * x); ties go to the smaller vec_id.  Rows with a null vec_id, a null
+    vector, or a null or non-finite component (or one of 2**55 or more, whose integer isn't a long) take no
+    part.  Only vectors of equal length meet.  A query's own vec_id is no candidate; of rows that repeat a
+    vec_id and vector, one takes part.  An empty table gives no rows.
     """
-    ship(vectors.sparkSession)
+    spark = vectors.sparkSession
+    ship(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v"), is_query.alias("is_query"))
     rows = rows.filter("vec_id IS NOT NULL AND v IS NOT NULL").withColumn("dim", F.size("v")).dropDuplicates(["vec_id", "v"])
     rows = materialise(rows, "vectors")
-    dims = {(r["dim"], r["is_query"]): r["count"] for r in rows.groupBy("dim", F.coalesce("is_query", F.lit(False)).alias("is_query")).count().collect()}
-    total = {d: dims.get((d, False), 0) + dims.get((d, True), 0) for d, _ in dims}
-    shards = F.coalesce(*(F.when(F.col("dim") == d, F.lit(-(-n // shard_rows))) for d, n in total.items()), F.lit(1))
-    blocks = F.coalesce(*(F.when(F.col("dim") == d, F.lit(max(1, -(-dims.get((d, True), 0) // block_rows)))) for d in total), F.lit(1))
-    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
-    queries = rows.filter("is_query").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), blocks).cast("int"))
-
-    # A bounded seed set gives each query its first k-th score.
-    seed: dict[int, list] = {}
-    for d in total:
-        least = rows.filter(F.col("dim") == d).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEED_ROWS).select("vec_id", "v").collect()
-        seed[d] = [np.array([r["vec_id"] for r in least]), np.array([r["v"] for r in least], np.int64).reshape(len(least), d)]
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            low = []
-            for d, v, own in zip(p["dim"], p["v"], p["vec_id"], strict=True):
-                ids, x = seed[d]
-                v = np.array(v, np.float64)
-                s = np.sort((x.astype(np.float64) @ v)[ids != own])
-                slack = 1 + 1e-12 * float((np.abs(x.astype(np.float64)) @ np.abs(v)).max(initial=0))
-                low.append(s[-k] - slack if len(s) >= k else -np.inf)
-            yield p.assign(floor=np.array(low, np.float64))
-
-    queries = queries.select("vec_id", "v", "dim", "block").mapInPandas(first, "vec_id long, v array<long>, dim int, block int, floor double")
-    asked = queries.select("dim", "block", every(shards).alias("shard"), "vec_id", "v", "floor")
-    held = rows.select("dim", F.pmod(F.xxhash64("vec_id"), shards).cast("int").alias("shard"), "vec_id", "v").select("dim", "shard", "vec_id", "v", every(blocks).alias("block"))
-
-    def meet(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        dim = int(key[0])
-        return search(_matrix(x["v"], dim), x["vec_id"].to_numpy(), _matrix(q["v"], dim), q["vec_id"].to_numpy(), q["floor"].to_numpy(), k) if len(q) and len(x) else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-
-    keys = ["dim", "block", "shard"]
-    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score long")
-    ranked = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("neg"), F.col("vec_id")))), 1, k)
-    lists = found.groupBy("query_id").agg(ranked.alias("best"))
+    # A shard is a part of the vectors of one dimension; the counts are joined, as dimensions may be many.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = F.count(F.lit(1))
+    shards = F.greatest(F.ceil(number / shard_rows), F.least(F.lit(tasks), F.ceil(number / 1024)))
+    counts = rows.groupBy(F.col("dim").alias("own_dim")).agg(shards.cast("int").alias("shards"))
+    dealt = rows.join(counts, F.col("dim") == F.col("own_dim"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).select("dim", "shard", "vec_id", "v")
+    # Shards go round the tasks; one task has several of a large table, one after the other.
+    task = F.pmod(F.col("shard") + F.hash("dim"), F.lit(tasks))
+    dealt = dealt.withColumn("task", task).repartitionById(tasks, "task").drop("task").sortWithinPartitions("dim", "shard")
+    shards = materialise(dealt, "shards")
+
+    queries = rows.filter("is_query").select("vec_id", "v", "dim")
+    n, values = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest("dim", F.lit(1)).cast("long")), F.lit(0))).first()
+    blocks = max(-(-n // block_rows), -(-values // BLOCK_VALUES))
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(max(1, blocks))).cast("int"))
+    queries = materialise(queries.repartition("block"), "queries") if blocks > 1 else queries
+    found = None
+    for block in range(blocks):
+        asked: dict[int, list] = {}
+        for r in queries.filter(F.col("block") == block).toLocalIterator():
+            asked.setdefault(r["dim"], []).append((r["vec_id"], r["v"]))
+        packed = {d: (np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.int64).reshape(len(own), d)) for d, own in asked.items()}
+        part = shards.mapInArrow(_searched(packed, k), "query_id long, vec_id long, score long")
+        part = part if blocks == 1 else materialise(_best(part, k), "found")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    lists = _lists(found, k)
     return lists.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.neg")).alias("score"))
 
 
+def _lists(found: DataFrame, k: int) -> DataFrame:
+    ranked = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("neg"), F.col("vec_id")))), 1, k)
+    return found.groupBy("query_id").agg(ranked.alias("best"))
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each query, so that what a block leaves doesn't follow the number of tasks."""
+    return _lists(found, k).select("query_id", F.explode("best").alias("b")).select("query_id", "b.vec_id", (-F.col("b.neg")).alias("score"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
