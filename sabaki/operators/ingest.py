@@ -99,16 +99,21 @@ def backpressure(jobs: DataFrame, capacity: int = QUEUE_CAPACITY) -> DataFrame:
 def job_order(jobs: DataFrame) -> DataFrame:
     """Jobs (priority, arrival) with their place in the queue, by priority, then arrival, then id.
 
-    Places come from counts by priority and arrival bucket, so ranking within a bucket is all that a
-    task does.
+    Places come from counts by priority and hour, and by second within an hour, so ranking within a
+    second is the most that a task does.  Jobs without a priority or an arrival come first.
     """
-    bucketed = jobs.withColumn("bucket", F.date_trunc("hour", "arrival"))
-    counts = bucketed.groupBy("priority", "bucket").count()
-    before = F.sum("count").over(Window.orderBy("priority", "bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("priority", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    bucketed = jobs.withColumn("bucket", F.date_trunc("second", "arrival"))
+    hour = F.date_trunc("hour", "bucket")
+    seconds = bucketed.groupBy("priority", "bucket").count()
+    hours = seconds.groupBy("priority", hour.alias("hour")).agg(F.sum("count").alias("count"))
+    before = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hours = hours.select(F.col("priority").alias("hour_priority"), "hour", before(Window.orderBy("priority", "hour")).alias("earlier"))
+    seconds = seconds.select("priority", "bucket", before(Window.partitionBy("priority", hour).orderBy("bucket")).alias("within"))
+    starts = seconds.join(hours, F.col("priority").eqNullSafe(F.col("hour_priority")) & hour.eqNullSafe(F.col("hour")))
+    starts = starts.select(F.col("priority").alias("own_priority"), F.col("bucket").alias("own_bucket"), (F.col("earlier") + F.col("within")).alias("before"))
     nth = F.row_number().over(Window.partitionBy("priority", "bucket").orderBy("arrival", "job_id"))
-    ranked = bucketed.withColumn("nth", nth).join(starts, ["priority", "bucket"])
-    return ranked.withColumn("place", F.col("before") + F.col("nth")).drop("bucket", "nth", "before")
+    ranked = bucketed.withColumn("nth", nth).join(starts, F.col("priority").eqNullSafe(F.col("own_priority")) & F.col("bucket").eqNullSafe(F.col("own_bucket")))
+    return ranked.withColumn("place", F.col("before") + F.col("nth")).drop("bucket", "nth", "before", "own_priority", "own_bucket")
 
 
 def audit_events(uploaded: DataFrame, processed: DataFrame, failed: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Every step is an array expression over one document, so nothing is shuffled.  Grouping depends on
 how long the running block is, which no window can express; it is a fold over marks made beforehand
-that keeps the starts of blocks only, since an array grown at every line would cost the square of
-the lines.
+that keeps the starts of blocks only, and grows them a part of the lines at a time, since an array
+grown at every line or block would cost the square of the lines.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.text import clean_lines, let, mentions
 
+#: Lines of a part, within which an array of starts grows.
+PART = 256
+
 
 def is_noise(line: Column, own_names: tuple[str, ...] = ()) -> Column:
     """Whether a line is a header, a footer, transport, a summary or an address (``own_names``: of the tenant)."""
@@ -42,7 +45,6 @@ def block_starts(lines: Column) -> Column:
     the block has three lines, and at a chassis once it has one.
     """
     none = F.array().cast("array<int>")
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(False).alias("has"), none.alias("starts"))
 
     def step(acc: Column, m: Column) -> Column:
         new = (acc["n"] == 0) | m["always"] | (m["lot"] & (acc["n"] >= 3)) | (acc["has"] & m["chassis"])
@@ -53,7 +55,13 @@ def block_starts(lines: Column) -> Column:
             F.when(new, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"),
         )
 
-    return F.aggregate(F.transform(lines, _mark), zero, step, lambda acc: acc["starts"])
+    def along(acc: Column, part: Column) -> Column:
+        begin = F.struct(acc["i"].alias("i"), acc["n"].alias("n"), acc["has"].alias("has"), none.alias("starts"))
+        return let(F.aggregate(part, begin, step), lambda r: F.struct(r["i"].alias("i"), r["n"].alias("n"), r["has"].alias("has"), F.concat(acc["parts"], F.array(r["starts"])).alias("parts")))
+
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(False).alias("has"), F.array().cast("array<array<int>>").alias("parts"))
+    parts = let(F.transform(lines, _mark), lambda m: F.transform(F.sequence(F.lit(0), F.floor(F.size(m) / PART).cast("int")), lambda p: F.slice(m, p * PART + 1, F.lit(PART))))
+    return F.aggregate(parts, zero, along, lambda acc: F.flatten(acc["parts"]))
 
 
 def blocks_at(lines: Column, starts: Column) -> Column:

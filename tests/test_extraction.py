@@ -106,3 +106,12 @@ def test_classification(spark):
 def test_line_items(spark):
     items = line_items(extract(spark.createDataFrame([(1, V3), (2, V6)], "doc_id int, text string"))).collect()
     assert [(i.doc_id, i.line_number, i.description, i.unit_price, i.subtotal) for i in items] == [(1, 1, "KSP210-0116561", 1692000.0, 1704450.0)]
+
+
+def test_blocks_of_many_lines(spark):
+    """Blocks go on over the parts of lines that the fold goes by, and cost no square of them."""
+    for n in (0, 85, 86, 20_000):
+        block = ["1234", "プリウス", "KSP210-0116561"]
+        text = "\n".join(block * n)
+        r = segment(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+        assert [list(b) for b in r.blocks] == [block] * n

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -137,3 +138,11 @@ def test_lookup_and_children(spark):
     items = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "k int, n int, w string")
     got = {r.k: [tuple(c) for c in r.children] for r in ingest.with_children(stored, items, "k", "n").collect()}
     assert got == {1: [(1, "a"), (2, "b")], 2: []}
+
+
+def test_job_order_within_hours_and_without_arrival(spark):
+    at = lambda s: datetime(2026, 1, 1) + timedelta(seconds=s)
+    rows = [(i, i % 3 or None, None if i % 10 == 0 else at(i * 7 % 50 * 100 + i % 4 / 4)) for i in range(200)]
+    got = {r.job_id: r.place for r in ingest.job_order(spark.createDataFrame(rows, "job_id int, priority int, arrival timestamp")).collect()}
+    want = sorted(rows, key=lambda r: (r[1] or 0, r[2] or datetime.min, r[0]))
+    assert got == {r[0]: n + 1 for n, r in enumerate(want)}
