@@ -31,6 +31,8 @@ from ..functions.shipping import ship
 from .common import materialise, table
 
 CAPACITY = 2048
+#: Steps of a plan that is broadcast (48 bytes each); it takes a few thousand at the usual capacity.
+BROADCAST_STEPS = 1 << 18
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Above this code point the two libraries' Unicode tables might differ.
@@ -203,10 +205,12 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
     before = F.sum("count").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     counts = materialise(counts.withColumn("before", F.coalesce(before, F.lit(0))), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    plan = spark.createDataFrame(best_fit_decreasing(histogram, capacity), "step_length long, lo long, hi long, first long, each long, at long")
-    ranked = pieces.join(counts.select("length", "task", "before"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
-    # The plan's size depends on the capacity alone.
-    placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("step_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    steps = best_fit_decreasing(histogram, capacity)
+    plan = spark.createDataFrame(steps, "step_length long, lo long, hi long, first long, each long, at long")
+    # The counts grow with the tasks, so they are never broadcast; a hot length is spread over the tasks.
+    ranked = pieces.join(counts.select("length", "task", "before").hint("merge"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # The plan's size depends on the capacity alone; for a very large one it is joined by length.
+    placed = ranked.join(F.broadcast(plan) if len(steps) <= BROADCAST_STEPS else plan.hint("merge"), (F.col("length") == F.col("step_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     nth = F.col("rank") - F.col("lo")
     return placed.select(
         "doc_id",

@@ -239,6 +239,26 @@ def test_packing(documents, odd):
         assert len(bins) == brute.best_fit_decreasing([r.length for r in rows], 2048)
 
 
+def test_packing_broadcasts_the_plan_only(documents, monkeypatch):
+    """Counts by task grow with the input; a plan over its bound isn't broadcast either, with the same places."""
+    joins = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "piece", "length", "offset").collect()))
+    small = packing.pack_documents(documents)
+    assert joins(small).count("BroadcastHashJoin") == 1 and joins(small).count("SortMergeJoin") == 1
+    monkeypatch.setattr(packing, "BROADCAST_STEPS", 0)
+    large = packing.pack_documents(documents)
+    assert "Broadcast" not in joins(large)
+    size = lambda df: {i: sum(r.length for r in g) for i, g in by_sequence(df).items()}
+    assert len(rows(large)) == len(rows(small)) and sorted(size(large).values()) == sorted(size(small).values())
+
+
+def by_sequence(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.sequence_id, []).append(r)
+    return out
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=120))
 def test_grouped_best_fit_is_the_plain_one(lengths):
