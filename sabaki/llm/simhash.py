@@ -120,8 +120,11 @@ class BKForest:
             out[self.parent[at[odd]]] = -1
         return out
 
-    def links(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """A spanning forest of all pairs of a group within ``radius`` bits, as positions."""
+    def links(self, radius: int, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest of all pairs of a group within ``radius`` bits, as positions.
+
+        ``direct``: pairs that are themselves within the radius and connect as much, not each position with the first it reaches.
+        """
         n = len(self.fp)
         near = np.flatnonzero((self.parent >= 0) & (self.edge <= radius))
         a, b = [near], [self.parent[near]]
@@ -153,6 +156,8 @@ class BKForest:
                 if total := int(count.sum()):
                     to = np.repeat(lo_ - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(total)
                     todo.append((np.repeat(q, count), self.child[to]))
+        if direct:
+            return np.concatenate(a), np.concatenate(b)
         _, first = np.unique(label, return_index=True)
         root = first[np.searchsorted(label[first], label)]
         linked = np.flatnonzero(root != np.arange(n))
@@ -180,11 +185,16 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _search(radius: int):
-    """Rows come sorted by shard; whole shards are searched together."""
+def _search(radius: int, lean: bool = False):
+    """Rows come sorted by shard; whole shards are searched together. ``lean``: a shard may hold a fingerprint twice, and links are direct."""
 
     def found(fp: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
-        a, b = BKForest(fp, group).links(radius)
+        if lean:
+            order = np.lexsort((fp, group))
+            fp, group = fp[order], group[order]
+            new = np.r_[True, (fp[1:] != fp[:-1]) | (group[1:] != group[:-1])]
+            fp, group = fp[new], group[new]
+        a, b = BKForest(fp, group).links(radius, lean)
         return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,14 +220,21 @@ def _search(radius: int):
     return run
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp): a spanning forest of each shard's links."""
+def near_links(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, lean: bool = False) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp): a spanning forest of each shard's links.
+
+    ``lean`` is for many choices of blocks: one narrow shuffle, shards told to be full by a sample of their
+    fingerprints, named by a hash (shards that share one are searched together, which loses no link). Its links
+    are within the radius each, so that they can be confirmed by something else.
+    """
     ship(prints.sparkSession)
     n = prints.count()
     keyed = prints.select("fp", F.explode(_keys(F.col("fp"), radius, n)).alias("k")).select("fp", "k.choice", "k.bits")
-    full = keyed.groupBy("choice", "bits").count().filter(F.col("count") > shard_rows // 2)
-    full = full.select("choice", "bits", F.ceil(F.col("count") * 2 / shard_rows).cast("int").alias("parts"))
-    keyed = keyed.join(full, ["choice", "bits"], "left")
+    share = 64 if lean else 1
+    counted = keyed.filter(F.pmod(F.xxhash64("fp", F.lit("counted")), F.lit(share)) == 0) if lean else keyed
+    full = counted.groupBy("choice", "bits").count().filter(F.col("count") * share > shard_rows // 2)
+    full = full.select("choice", "bits", F.ceil(F.col("count") * (2 * share) / shard_rows).cast("int").alias("parts"))
+    keyed = keyed.join(F.broadcast(full) if lean else full, ["choice", "bits"], "left")
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
@@ -226,6 +243,9 @@ def near_links(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_
     keyed = keyed.withColumn("part", part)
     keyed = keyed.select("choice", "bits", "fp", F.explode(F.when(F.col("parts") > 1, pairs).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))).alias("p"))
     keyed = keyed.select("choice", "bits", "p.i", "p.j", "fp")
+    if lean:
+        shards = keyed.select(F.hash("choice", "bits", "i", "j").alias("shard"), "fp").repartition("shard").sortWithinPartitions("shard")
+        return shards.mapInArrow(_search(radius, lean=True), "a long, b long")
     shards = keyed.repartition("choice", "bits", "i", "j").sortWithinPartitions("choice", "bits", "i", "j")
     return shards.mapInArrow(_search(radius), "a long, b long")
 

@@ -72,3 +72,52 @@ def test_rows_of_one_key(spark):
     got = corpus_pipeline.simhash_near_dedup(spark, docs, None)
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], rows[5], rows[7]], key=str)
+
+
+def texts_with_changes(draw, clusters=6, members=4):
+    rows = []
+    for k in range(clusters):
+        base = [f"w{draw.randrange(5000)}" for _ in range(300)]
+        for i in range(members):
+            own = list(base)
+            for _ in range(draw.randrange(4)):
+                own[draw.randrange(300)] = f"x{draw.randrange(5000)}"
+            rows.append((10 * k + i, " ".join(own)))
+    return rows
+
+
+def prints_of(rows):
+    own = {d: jaccard.shingles(t.encode()) for d, t in rows}
+    return {d: (jaccard._node(s), jaccard.fingerprint(s)) for d, s in own.items()}
+
+
+@pytest.mark.parametrize("shard_rows", [8192, 4])
+def test_simhash_pairs_connect_all_within_the_radius(spark, shard_rows):
+    prints = prints_of(texts_with_changes(random.Random(8)))
+    nodes = dict(prints.values())
+    near = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count() <= jaccard.RADIUS
+    df = spark.createDataFrame(list(nodes.items()), "node long, fp long")
+    pairs = [(r.a, r.b) for r in jaccard.simhash_pairs(df, shard_rows=shard_rows).collect()]
+    assert pairs and all(near(nodes[a], nodes[b]) for a, b in pairs)
+    linked = {frozenset(p) for p in pairs}
+    assert brute.components(dict(zip(nodes, nodes, strict=True)), lambda a, b: frozenset((a, b)) in linked) == brute.components(nodes, near)
+
+
+def test_simhash_finds_near_copies_by_itself(spark, monkeypatch):
+    """Without prefixes: near copies within the radius are still one component."""
+    monkeypatch.setattr(jaccard, "_prefixes", lambda *_: lambda batches: iter(()))
+    rows = texts_with_changes(random.Random(9))
+    prints, sets = prints_of(rows), shingle_sets(rows)
+    near = lambda a, b: alike(sets[a], sets[b]) and ((prints[a][1] ^ prints[b][1]) & (1 << 64) - 1).bit_count() <= jaccard.RADIUS
+    root = brute.components({d: d for d in sets}, near)
+    got = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), None)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(d for d in root if root[d] == d)
+    assert len(set(root.values())) < len(rows) / 2
+
+
+def test_fingerprint_is_the_majority():
+    draw = random.Random(10)
+    for n in (1, 2, 5, 5000):
+        own = [draw.getrandbits(64) - (1 << 63) for _ in range(n)]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > n)
+        assert jaccard.fingerprint(jaccard.np.array(own, jaccard.np.int64)) & (1 << 64) - 1 == want
