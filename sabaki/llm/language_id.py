@@ -6,7 +6,8 @@ bit against each codeword, weighted by how well the bit's classifier does on tha
 codeword with the least loss wins.  Two codewords of nearly equal loss make the result ambiguous.
 
 The classifiers are fitted on a bounded sample of labelled rows (``sample_docs``), drawn evenly
-over the languages by a hash of doc_id; their features are made on the executors.  Prediction reads
+over the languages by a hash of doc_id; their features are made on the executors and come to the driver
+packed, by Arrow; there is one matrix of them there, of the buckets that the sample has.  Prediction reads
 whole texts in one pass without a shuffle; the model (``buckets`` x bits floats) is in the closure.
 
 A text far from every codeword is in none of the languages.  How far, a further quarter of the
@@ -73,6 +74,29 @@ def features(text: str, buckets: int = BUCKETS) -> np.ndarray:
     return out / norm if norm else out
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The buckets of ``x`` that aren't zero, then their values in half precision."""
+    at = np.flatnonzero(x)
+    return at.astype(np.uint16).tobytes() + x[at].astype(np.float16).tobytes()
+
+
+def _halves(x: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(x.as_buffer(), np.uint16)
+    return raw[: len(raw) // 2], raw[len(raw) // 2 :].view(np.float16)
+
+
+def unpacked(rows: pa.Array, buckets: np.ndarray) -> np.ndarray:
+    """A row for each of ``rows`` (packed) and a column for each of ``buckets``; the values of other buckets are left out."""
+    column = np.full(BUCKETS, -1)
+    column[buckets] = np.arange(len(buckets))
+    out = np.zeros((len(rows), len(buckets)), np.float32)
+    for row, x in zip(out, rows, strict=True):
+        at, value = _halves(x)
+        to = column[at]
+        row[to[to >= 0]] = value[to >= 0]
+    return out
+
+
 def codewords(classes: int, seed: int = 7) -> np.ndarray:
     """One row of -1 and 1 for each class: every split of up to seven classes, else spread random ones."""
     if classes < 2:
@@ -188,20 +212,28 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            x = [features(t).astype(np.float16).tobytes() for t in texts]
+            x = [packed(features(t)) for t in texts]
             letters = ["".join(sorted(set(letters_of(t.lower())))) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), pa.array(letters, pa.string()), b.column(2)], ["lang", "x", "letters", "limits"])
 
-    got = drawn.mapInArrow(made, "lang string, x binary, letters string, limits boolean").distinct().collect()
-    got.sort(key=lambda r: (r["lang"], r["limits"], bytes(r["x"])))
-    matrix = lambda rows: np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float16).reshape(-1, BUCKETS).astype(np.float32)
-    learned = {r["lang"] for r in got if not r["limits"]}
-    fitted = [r for r in got if not r["limits"] or r["lang"] not in learned]
-    model = fit(matrix(fitted), [r["lang"] for r in fitted])
-    others = [r for r in got if r["limits"] and r["lang"] in learned]
-    if others and len(model.languages) > 1:
-        model.limit = max(NEAR, float(model.losses(matrix(others)).min(axis=1).max()))
-    model.letters = "".join(sorted(set().union(*(r["letters"] for r in got))))
+    got = drawn.mapInArrow(made, "lang string, x binary, letters string, limits boolean").distinct().toArrow()
+    got = got.sort_by([(c, "ascending") for c in ("lang", "limits", "x", "letters")])
+    lang, limits = got["lang"].to_pylist(), np.array(got["limits"].to_pylist(), bool)
+    learned = {k for k, limit in zip(lang, limits, strict=True) if not limit}
+    other = limits & np.array([k in learned for k in lang], bool)
+    fitted = got["x"].filter(pa.array(~other))
+    has = np.zeros(BUCKETS, bool)
+    for x in fitted:
+        has[_halves(x)[0]] = True
+    # The weights of other buckets are zero, so neither the fit nor the limit needs their columns.
+    buckets = np.flatnonzero(has)
+    model = fit(unpacked(fitted, buckets), [k for k, o in zip(lang, other, strict=True) if not o])
+    if other.any() and len(model.languages) > 1:
+        model.limit = max(NEAR, float(model.losses(unpacked(got["x"].filter(pa.array(other)), buckets)).min(axis=1).max()))
+    weights = np.zeros((BUCKETS, model.weights.shape[1]), np.float32)
+    weights[buckets] = model.weights
+    model.weights = weights
+    model.letters = "".join(sorted(set().union(*got["letters"].to_pylist())))
     return model
 
 

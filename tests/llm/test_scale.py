@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sabaki.llm import common, exact_dedup, line_dedup, pii, secrets, sentencepiece_codec, simhash, spans, topk
+from sabaki.llm import common, exact_dedup, language_id, line_dedup, pii, secrets, sentencepiece_codec, simhash, spans, topk
 
 from . import brute
 from .test_pipeline import redacted
@@ -186,3 +188,23 @@ def test_shared_folder_has_to_be_named_on_a_cluster(spark):
 def test_keeper_of_near_copies_is_whole(spark, odd):
     kept = simhash.keep_one_of_each(odd.unionByName(odd))
     assert kept.columns == odd.columns and kept.count() == kept.dropDuplicates(["doc_id", "text"]).count()
+
+
+def test_training_holds_less_than_its_sample_at_full_width(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~language_id.held_out(F.col("doc_id"))).count()
+    tracemalloc.start()
+    model = language_id.train(docs)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert rows >= 500 and model.weights.shape[0] == language_id.BUCKETS
+    assert peak < rows * language_id.BUCKETS * 4
+
+
+def test_packed_features_are_those_of_the_text(documents):
+    texts = ["", "a", "Ünï 漢字 \U0001f600", *(r.text for r in documents.select("text").limit(20).collect())]
+    x = np.stack([language_id.features(t) for t in texts]).astype(np.float16)
+    rows = pa.chunked_array([[language_id.packed(r) for r in x[:7]], [language_id.packed(r) for r in x[7:]]])
+    assert (language_id.unpacked(rows, np.arange(language_id.BUCKETS)) == x).all()
+    some = np.array([5, 17, 4000, language_id.BUCKETS - 1])
+    assert (language_id.unpacked(rows, some) == x[:, some]).all()
