@@ -185,8 +185,24 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions of links (a, b) between fingerprints that connect as much as all: the closest ones, fewer than there are fingerprints."""
+    order = np.argsort(distance(a, b), kind="stable")
+    ids, at = np.unique(np.r_[a[order], b[order]], return_inverse=True)
+    up, kept = list(range(len(ids))), []
+    for i, (x, y) in enumerate(at.reshape(2, -1).T.tolist()):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[x] = y
+            kept.append(i)
+    return order[kept]
+
+
 def _search(radius: int, lean: bool = False):
-    """Rows come sorted by shard; whole shards are searched together. ``lean``: a shard may hold a fingerprint twice, and links are direct."""
+    """Rows come sorted by shard; whole shards are searched together. ``lean``: a shard may hold a fingerprint twice, and links are direct, those of all shards searched together a forest."""
 
     def found(fp: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
         if lean:
@@ -195,6 +211,9 @@ def _search(radius: int, lean: bool = False):
             new = np.r_[True, (fp[1:] != fp[:-1]) | (group[1:] != group[:-1])]
             fp, group = fp[new], group[new]
         a, b = BKForest(fp, group).links(radius, lean)
+        if lean:
+            first = forest(fp[a], fp[b])
+            a, b = a[first], b[first]
         return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

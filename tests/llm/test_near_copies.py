@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from sabaki.llm import jaccard
+from sabaki.llm import jaccard, simhash
 
 from . import brute
 from .test_pipeline import alike, shingle_sets
@@ -121,3 +122,18 @@ def test_fingerprint_is_the_majority():
         own = [draw.getrandbits(64) - (1 << 63) for _ in range(n)]
         want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > n)
         assert jaccard.fingerprint(jaccard.np.array(own, jaccard.np.int64)) & (1 << 64) - 1 == want
+
+
+def test_direct_links_of_a_dense_group_are_a_forest(spark):
+    draw = np.random.default_rng(4)
+    center = int(draw.integers(1 << 62))
+    group = {center} | {center ^ 1 << i ^ 1 << j for i, j in draw.integers(0, 62, (600, 2)).tolist() if i != j}
+    prints = sorted(group | {int(x) for x in draw.integers(1 << 62, size=300)})
+    df = spark.createDataFrame([(x,) for x in prints], "fp long").repartition(3)
+    found = [(r.a, r.b) for r in simhash.near_links(df, 8, lean=True).collect()]
+    assert all(a != b and (a ^ b).bit_count() <= 8 for a, b in found)
+    root = brute.components({x: x for x in prints}, lambda a, b: (a ^ b).bit_count() <= 8)
+    at = {x: i for i, x in enumerate(prints)}
+    label = simhash.merge(np.arange(len(prints)), np.array([at[a] for a, _ in found]), np.array([at[b] for _, b in found]))
+    assert [prints[i] for i in label] == [root[x] for x in prints]
+    assert len(found) <= int(spark.conf.get("spark.sql.shuffle.partitions")) * (len(group) - 1)
